@@ -1,0 +1 @@
+"""operators of the image-codec analytics engine."""

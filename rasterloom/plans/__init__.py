@@ -1,0 +1 @@
+"""plans of the image-codec analytics engine."""

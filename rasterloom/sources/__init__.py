@@ -1,0 +1 @@
+"""sources of the image-codec analytics engine."""

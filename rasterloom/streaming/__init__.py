@@ -1,0 +1 @@
+"""streaming of the image-codec analytics engine."""
