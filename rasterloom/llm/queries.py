@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, neighbours, sharding, urls
+from . import jaccard, media, mixing, neighbours, pieces, quality, sharding, urls
 from .common import table
 
 
@@ -26,9 +26,21 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op5_url_filter, op10_sharding)}
-ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_nearest_neighbours": neighbours.ORACLE, "op10_sharding": sharding.oracle_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op5_url_filter, op7_quality_classifier, op8_sentencepiece, op9_ngram_jaccard, op10_sharding)}
+ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_nearest_neighbours": neighbours.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_sharding": sharding.oracle_sql()}
