@@ -99,17 +99,31 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+CHUNK_BITS = 22
+
+
 def window_minima(values: np.ndarray, w: int) -> np.ndarray:
-    """Places of the leftmost minimum of each window of w values, ascending and without repeats; of all values where there are fewer than w."""
+    """Places of the least value of each window of w 64-bit values, ascending and without repeats; of all values where there are fewer than w.
+
+    The upper 42 bits count, and the leftmost of equal ones, so equal windows give equal places in them.
+    """
     n = len(values)
     if n == 0:
         return np.zeros(0, np.int64)
     if n <= w:
-        return np.array([int(np.argmin(values))], np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(values, w)
-    out, last = [], -1
-    for at in range(0, len(view), 65536):
-        got = np.unique(view[at : at + 65536].argmin(axis=1) + np.arange(at, min(at + 65536, len(view))))
-        out.append(got[got > last])
-        last = int(got[-1])
-    return np.concatenate(out)
+        return np.array([int(np.argmin(values >> np.uint64(CHUNK_BITS)))], np.int64)
+    out, step, mask = [], (1 << CHUNK_BITS) - 2 * w, np.uint64((1 << CHUNK_BITS) - 1)
+    for at in range(0, n - w + 1, step):
+        part = values[at : at + step + w - 1]
+        m = len(part)
+        rows = -(-m // w)
+        held = np.full(rows * w, ~np.uint64(0))
+        held[:m] = (part & ~mask) | np.arange(m, dtype=np.uint64)
+        held = held.reshape(rows, w)
+        ahead = np.minimum.accumulate(held, axis=1).ravel()
+        behind = np.minimum.accumulate(held[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
+        least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+        out.append((least & mask).astype(np.int64) + at)
+    got = np.concatenate(out)
+    return np.unique(got) if len(out) > 1 else got

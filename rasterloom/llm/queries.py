@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, neighbours, pieces, quality, sharding, urls
+from . import jaccard, media, mixing, neighbours, pieces, quality, sharding, suffixes, urls
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -42,5 +46,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op5_url_filter, op7_quality_classifier, op8_sentencepiece, op9_ngram_jaccard, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op4_suffix_dedup, op5_url_filter, op7_quality_classifier, op8_sentencepiece, op9_ngram_jaccard, op10_sharding)}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_nearest_neighbours": neighbours.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_sharding": sharding.oracle_sql()}
