@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, neighbours, pieces, quality, sharding, suffixes, urls
+from . import jaccard, media, mixing, neighbours, passages, pieces, quality, sharding, suffixes, urls
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op4_suffix_dedup, op5_url_filter, op7_quality_classifier, op8_sentencepiece, op9_ngram_jaccard, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media_columns, op2_source_mixing, op3_nearest_neighbours, op4_suffix_dedup, op5_url_filter, op6_substring_dedup, op7_quality_classifier, op8_sentencepiece, op9_ngram_jaccard, op10_sharding)}
 ORACLES: dict[str, str] = {"op2_source_mixing": mixing.ORACLE, "op3_nearest_neighbours": neighbours.ORACLE, "op9_ngram_jaccard": jaccard.ORACLE, "op10_sharding": sharding.oracle_sql()}
