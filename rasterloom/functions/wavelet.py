@@ -104,13 +104,17 @@ def forward_levels(m: Column, levels: int, line=forward53) -> Column:
             h, w = F.shiftright(h + 1, 1), F.shiftright(w + 1, 1)
         return h, w
 
-    out = forward_plane(m, line)
-    for k in range(1, levels):
-        def again(p: Column, k: int = k) -> Column:
+    def again(k: int):
+        def split(p: Column) -> Column:
             h, w = corner(p, k)
             part = forward_plane(F.transform(F.slice(p, F.lit(1), h), lambda row: F.slice(row, F.lit(1), w)), line)
             return let(part, lambda q: F.transform(p, lambda row, y: F.when(y < h, F.concat(F.get(q, y), F.slice(row, w + 1, F.size(row)))).otherwise(row)))
-        out = let(out, again)
+
+        return split
+
+    out = forward_plane(m, line)
+    for k in range(1, levels):
+        out = let(out, again(k))
     return out
 
 
