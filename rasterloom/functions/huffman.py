@@ -50,4 +50,4 @@ def to_varint(value: Column) -> Column:
 def octets(data: Column) -> Column:
     """A binary as array<bigint>."""
     h = F.hex(data)
-    return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.length(h) / 2 - 1), lambda i: F.conv(F.substring(h, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(0), F.shiftright(F.length(h), 1) - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.expr("cast(array() as array<bigint>)"))

@@ -44,9 +44,14 @@ def chunk_jobs(jobs: DataFrame, max_jobs: int, max_payload: int, max_descriptor:
     return held.select(*keys, "bucket", F.posexplode(F.aggregate("jobs", start, step, lambda s: F.concat(s.done, one(s)))).alias("chunk", "c")).select(*keys, "bucket", F.col("chunk").cast("bigint").alias("chunk"), "c.*")
 
 
+def layer_budget(target: int) -> int:
+    """A layer may pass its target by a hundredth, and by 512 bytes at least."""
+    return target + max(512, target // 100)
+
+
 def assign_layers(segments: DataFrame, targets: list[int], *keys: str) -> DataFrame:
     """A layer for each block of a tile (keys): segments in (block, segment) order go to the first layer, not below the block's, whose later budgets all hold them; then a block's segments share its last layer."""
-    last = len(targets) - 1
+    last, targets = len(targets) - 1, [layer_budget(x) for x in targets]
     held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "segment", "rate"))).alias("s"))
     zero = F.lit(0).cast("bigint")
     start = F.struct(F.array(*[zero] * len(targets)).alias("used"), F.lit(None).cast("bigint").alias("block"), F.lit(0).alias("layer"), F.expr("cast(array() as array<struct<block:bigint,layer:int>>)").alias("out"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color, dct, geometry, huffman, quant, rects, resample, wavelet
 from ..functions.columns import big, clamp, let, shr
-from ..operators import batches, grids, metrics, progression
+from ..operators import batches, grids, metrics, progression, rate
 from . import inputs as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,7 +370,7 @@ def layer_monotonic(spark: SparkSession, sf: str) -> DataFrame:
   union all select tile, 0::bigint, -1::bigint, 0, 0, 0, 0 from s where k = 1
   union all select s.tile, s.k, s.block, r.u0 + case when l.l <= 0 then s.rate else 0 end, r.u1 + case when l.l <= 1 then s.rate else 0 end, r.u2 + s.rate, l.l
    from r join s on s.tile = r.tile and s.k = r.k + 1, lateral (select case when r.block = s.block then r.layer else 0 end as m) m,
-   lateral (select case when m.m <= 0 and r.u0 + s.rate <= 5000 and r.u1 + s.rate <= 20000 and r.u2 + s.rate <= 80000 then 0 when m.m <= 1 and r.u1 + s.rate <= 20000 and r.u2 + s.rate <= 80000 then 1 else 2 end as l) l)
+   lateral (select case when m.m <= 0 and r.u0 + s.rate <= 5512 and r.u1 + s.rate <= 20512 and r.u2 + s.rate <= 80800 then 0 when m.m <= 1 and r.u1 + s.rate <= 20512 and r.u2 + s.rate <= 80800 then 1 else 2 end as l) l)
  select tile, block, max(layer)::int as layer, count(*) as segments from r where k > 0 group by tile, block""", "segments")
 def layer_assign_ht(spark: SparkSession, sf: str) -> DataFrame:
     return batches.assign_layers(t.segments(spark, sf), [5000, 20000, 80000], "tile")
@@ -507,3 +507,46 @@ def huffman_extend(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("event_id")
     size = (k % 11).cast("int")
     return t.load(spark, sf, "events").select("event_id", huffman.extend((k * 7) % F.call_function("shiftleft", big(1), size), size).alias("v"))
+
+
+# rate control and bytes; these have no SQL, tests compare them with plain Python
+
+@query()
+def layer_assign_classic(spark: SparkSession, sf: str) -> DataFrame:
+    s = t.segments(spark, sf).withColumn("distortion", F.col("rate") * (1.0 + F.col("layer")))
+    return rate.layers_by_slope(s, [5000, 20000, 80000], ["tile"])
+
+
+@query()
+def jpeg2000_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Each vector's plane as a lossless codestream, inspected and decoded again."""
+    from ..operators import images
+    from ..sources import containers
+
+    p = t.line(spark, sf).select(F.col("vec_id").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.transform("s", lambda v: clamp(v + 128, 0, 255))).alias("planes"))
+    made = images.encode_images(p, kind="jp2", levels=2)
+    seen = containers.inspect(made, key="image").select("image", "format", "levels", "reversible")
+    back = images.decode_images(made, key="image").select("image", F.col("samples").alias("decoded"), "error")
+    return seen.join(back, "image").join(p, "image").select("image", "format", "levels", "reversible", (F.col("decoded") == F.get("planes", F.lit(0))).alias("same"), "error")
+
+
+@query()
+def jpeg_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """DCT blocks of the planes coded as JPEG, counted by activity."""
+    from ..operators import images
+
+    p = t.line(spark, sf).select(F.col("vec_id").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.transform("s", lambda v: clamp(v + 128, 0, 255))).alias("planes"))
+    b = images.dct_blocks(images.encode_images(p, kind="jpeg"), key="image")
+    return b.groupBy(dct.activity(F.col("coeff")).alias("activity")).agg(F.count("*").alias("blocks"))
+
+
+@query()
+def box_walk(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import images
+    from ..sources import containers
+
+    p = t.line(spark, sf).select(F.col("vec_id").alias("image"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.array(F.transform("s", lambda v: clamp(v + 128, 0, 255))).alias("planes"))
+    made = images.encode_images(p, kind="jp2", levels=1)
+    b = containers.box_rows(made, key="image").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
+    m = containers.marker_rows(made, key="image").groupBy(F.col("marker").alias("name")).agg(F.count("*").alias("n"))
+    return b.unionByName(m)
