@@ -30,6 +30,11 @@ def grams(raw: bytes, k: int = WORDS) -> np.ndarray:
     return np.unique(gram_hashes(words, min(k, max(len(words), 1))))
 
 
+def short(g: np.ndarray) -> bytes:
+    """A set in 32 bits an element: two of 1,000 elements have a false one in common once in 4,000 times."""
+    return np.unique((g >> np.uint64(32)).astype(np.uint32)).tobytes()
+
+
 def sample(g: np.ndarray) -> bytes:
     """The sampled tokens of a set: for each coordinate its smallest hash, as 32 bits."""
     out = np.empty(COORDINATES, np.uint64)
@@ -74,16 +79,20 @@ def candidates(texts: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
     rows = texts.select("key", "tokens", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), token("tokens", r)).alias("path")) for r in range(RUNS)])).alias("x")).select("key", "x.run", "x.path")
     rows = written(rows, "paths-0")
     for level in range(levels):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "path").alias("h"), F.col("key"))).alias("lead")).filter("n > 1")
-        met = written(rows.join(sizes.select("path", "n", F.col("lead.key").alias("lead")), "path"), f"buckets-{level}")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+        met = written(rows.join(sizes, "path"), f"buckets-{level}")
         few = met.filter(F.col("n") <= small).groupBy("path").agg(F.sort_array(F.collect_set("key")).alias("k"))
         few = few.select(F.explode(F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-        many = met.filter((F.col("n") > small) & (F.col("key") != F.col("lead")))
-        pairs = few.unionByName(many.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")))
-        found = pairs if found is None else found.unionByName(pairs)
-        if level == levels - 1 or not many.limit(1).count():
-            break
+        found = few if found is None else found.unionByName(few)
         large = met.filter(F.col("n") > small)
+        if not large.limit(1).count():
+            break
+        lead = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("key", "path").alias("h"), F.col("key"))).alias("x")).select("path", F.col("x.key").alias("lead"))
+        large = written(large.join(lead, "path"), f"large-{level}")
+        others = large.filter(F.col("key") != F.col("lead"))
+        found = found.unionByName(others.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")))
+        if level == levels - 1:
+            break
         lead = texts.select(F.col("key").alias("lead"), F.col("tokens").alias("lead_tokens"))
         leads = large.select("path", "lead").distinct().join(lead, "lead").select("path", "lead_tokens")
         large = large.join(texts.select("key", "tokens"), "key").join(leads, "path")
@@ -101,21 +110,22 @@ def agreement(a: str, b: str):
     return reduce(add, ((token(F.col(a), i) == token(F.col(b), i)).cast("int") for i in range(COORDINATES)))
 
 
-def exact_links(documents: DataFrame, texts: DataFrame, pairs: DataFrame, text_col: str, k: int, similarity: float) -> DataFrame:
+def exact_links(documents: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b, similarity) whose Jaccard similarity, computed from their whole texts, is high enough."""
     a, b = (texts.select(F.col("key").alias(s), F.col("n_grams").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     likely = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     likely = written(likely.filter(agreement("tokens_a", "tokens_b") >= LEAST_ESTIMATE * COORDINATES).select("a", "b"), "likely")
     keys = written(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct(), "likely-keys")
-    whole = documents.select(text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("raw"))
-    whole = whole.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key")
+    # of copies, the row of least id is read
+    keys = keys.join(texts.select("key", "rep"), "key").select(F.col("key").alias("_key"), "rep")
+    whole = documents.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("raw"))
+    whole = whole.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "raw")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([grams(x or b"", k).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["key", "grams"])
+            yield pa.record_batch([batch.column(0), pa.array([short(grams(x or b"", k)) for x in batch.column(1).to_pylist()], pa.binary())], names=["key", "grams"])
 
-    # of copies, one set is enough
-    held = written(whole.mapInArrow(sets, "key binary, grams binary").groupBy("key").agg(F.first("grams").alias("grams")), "gram-sets")
+    held = written(whole.mapInArrow(sets, "key binary, grams binary"), "gram-sets")
     both = likely.join(held.select(F.col("key").alias("b"), F.col("grams").alias("grams_b")), "b").join(held.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,26 +134,38 @@ def exact_links(documents: DataFrame, texts: DataFrame, pairs: DataFrame, text_c
                 part = batch.slice(at, PAIRS_A_BATCH)
                 score = []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                     common = len(x) + len(y) - len(np.union1d(x, y))
                     score.append(common / max(len(x) + len(y) - common, 1))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
 
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
+    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity).dropDuplicates(["a", "b"])
 
 
 def classes(links: DataFrame) -> DataFrame:
-    """(key, label) of the links' connected components: the least key of each, by hooking and pointer jumping."""
-    both = written(links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("label")), "labels")
+    """(key, label) of the links' connected components: each label is the least key.
+
+    Each round, each component (at first, each text) goes over to the least one that it is
+    linked with, or on to where that one goes, and the links between components that have
+    met vanish, so the links that are left get fewer fast.
+    """
+    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).distinct()
+    labels, left = written(ends.select("key", F.col("key").alias("label")), "labels"), links.select("a", "b")
     while True:
-        near = both.join(labels.select(F.col("key").alias("other"), F.col("label").alias("offer")), "other").groupBy("key").agg(F.min("offer").alias("offer"))
-        step = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "offer").alias("label"))
-        jump = labels.select(F.col("key").alias("label"), F.col("label").alias("further"))
-        step = written(step.join(jump, "label").select("key", "old", F.least("label", "further").alias("label")), "labels")
-        if not step.filter("label != old").limit(1).count():
-            return step.select("key", "label")
-        labels = step.select("key", "label")
+        to = left.groupBy(F.greatest("a", "b").alias("at")).agg(F.min(F.least("a", "b")).alias("to"))
+        to = written(to, "hooks")
+        if not to.limit(1).count():
+            return labels
+        while True:  # pointer jumping, until each hook leads to its end
+            on = to.select(F.col("at").alias("to"), F.col("to").alias("on"))
+            step = written(to.join(on, "to", "left").select("at", F.coalesce("on", "to").alias("to"), F.col("on").isNotNull().alias("moved")), "hooks")
+            to = step.select("at", "to")
+            if not step.filter("moved").limit(1).count():
+                break
+        labels = written(labels.join(to.withColumnRenamed("at", "label"), "label", "left").select("key", F.coalesce("to", "label").alias("label")), "labels")
+        left = left.join(to.select(F.col("at").alias("a"), F.col("to").alias("to_a")), "a", "left").select(F.coalesce("to_a", "a").alias("a"), "b")
+        left = left.join(to.select(F.col("at").alias("b"), F.col("to").alias("to_b")), "b", "left").select("a", F.coalesce("to_b", "b").alias("b"))
+        left = written(left.filter("a != b").distinct(), "edges")
 
 
 def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, small: int = SMALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +181,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float
     other). An empty table gives an empty result. Other columns are not read.
     """
     read = written(samples(documents, id_col, text_col, words), "samples")
-    texts = written(read.filter("n_grams > 0").groupBy("key").agg(F.first("n_grams").alias("n_grams"), F.first("tokens").alias("tokens")), "texts")
-    links = written(exact_links(documents, texts, candidates(texts, small), text_col, words, similarity), "links")
+    texts = written(read.filter("n_grams > 0").groupBy("key").agg(F.first("n_grams").alias("n_grams"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("rep")), "texts")
+    links = written(exact_links(documents, texts, candidates(texts, small), id_col, text_col, words, similarity), "links")
     label = classes(links)
     degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
     firsts = read.groupBy("key").agg(F.min("doc_id").alias("first"))
