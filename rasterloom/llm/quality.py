@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import prefix_hash, span_hash
 
 #: At most about so many labelled and unlabelled rows are fitted on, chosen by a hash of the id.
-LABELLED_ROWS, POOL_ROWS = 20_000, 6_000
+LABELLED_ROWS, POOL_ROWS = 12_000, 4_000
 ROUNDS, CONFIDENT, PSEUDO_WEIGHT, HELD_OUT = 3, 0.98, 0.3, 5
 DIMS = 1 << 20
 LEAST_DOCS, LEAST_Z = 4, 4.0
@@ -199,13 +200,41 @@ def train(documents: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED
     fold = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(HELD_OUT)).cast("int").alias("_fold")
     known = documents.join(wanted, "doc_id").select("doc_id", "_y", fold, "_raw", "_source", "_lang")
     unknown = pool.join(wanted, "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("_y"), fold, "_raw", "_source", "_lang")
-    got = views(known.unionByName(unknown), ["doc_id", "_y", "_fold"]).toArrow().sort_by([("doc_id", "ascending"), ("_y", "ascending")])
-    if not got.num_rows:
+    # the sample is small enough for one task, so the driver gets the fitted weights alone
+    feats = views(known.unionByName(unknown), ["doc_id", "_y", "_fold"]).repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit_rows(list(batches))
+        yield pa.record_batch([pa.array([None if model is None else pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = feats.mapInArrow(run, "model binary").filter("model is not null").first()
+    return None if found is None else pickle.loads(found["model"])
+
+
+def fit_rows(batches: list[pa.RecordBatch]) -> dict | None:
+    """``fit`` on rows of ``views``."""
+    if not sum(b.num_rows for b in batches):
         return None
-    words = got.column("words").combine_chunks()
-    rows = np.repeat(np.arange(got.num_rows), np.diff(words.offsets.to_numpy()))
+    got = pa.Table.from_batches(batches)
+    y, folds = got.column("_y").to_numpy().astype(int), got.column("_fold").to_numpy()
     pages = got.column("page").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-    return fit(words.flatten().to_numpy(), rows, pages, got.column("_y").to_numpy().astype(int), got.column("_fold").to_numpy())
+    # words of very few documents are dropped before anything else is made of them
+    chunks = got.column("words").chunks
+    often = sum(np.bincount(c.flatten().to_numpy(), minlength=DIMS) for c in chunks) >= LEAST_DOCS
+    flat, rows, at = [], [], 0
+    for c in chunks:
+        words, sizes = c.flatten().to_numpy(), np.diff(c.offsets.to_numpy())
+        keep = often[words]
+        flat.append(words[keep])
+        rows.append(np.repeat(np.arange(at, at + len(c), dtype=np.int32), sizes)[keep])
+        at += len(c)
+    # in one order, whatever the partitions
+    order = np.lexsort((pages[:, 0], y, got.column("doc_id").to_numpy()))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    flat, rows = np.concatenate(flat), place[np.concatenate(rows)]
+    by_row = np.argsort(rows, kind="stable")
+    return fit(flat[by_row], rows[by_row], pages[order], y[order], folds[order])
 
 
 def _plain(documents: DataFrame) -> DataFrame:
