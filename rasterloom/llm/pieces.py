@@ -8,13 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Characters of text that are indexed together.
-BATCH_CHARS = 8_000_000
+#: Bytes of text that are indexed together; bounds a worker's memory, but for single longer texts.
+BATCH_BYTES = 2_000_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -370,14 +371,12 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
         for batch in batches:
-            ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= BATCH_CHARS):
-                    chars += len(texts[to])
-                    to += 1
-                part = texts[at:to]
+            ids, column, at = batch.column(0), batch.column(1), 0
+            upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < len(column):
+                before = int(upto[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(upto, before + BATCH_BYTES, side="right")))
+                part = [x or "" for x in column.slice(at, to - at).to_pylist()]
                 tokens, off = v.encode(part)
                 same = [v.decode(tokens[a:b]) == x.replace(SPACE, " ") for x, a, b in zip(part, off[:-1], off[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens))
