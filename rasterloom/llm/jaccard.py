@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, mix, word_hashes, written
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, LEVELS, BRANCHES, SMALL = 48, 12, 6, 2, 32
+COORDINATES, RUNS, LEVELS, SMALL = 48, 12, 6, 32
+#: Further coordinates that a large bucket is split by, at the first level and at deeper ones.
+BRANCHES = (2, 1)
 #: Pairs whose estimate from all coordinates is lower are not computed exactly (over 4 standard deviations below 0.8).
 LEAST_ESTIMATE, SURE_ESTIMATE = 0.55, 0.85
 #: Up to so many 16-byte keys are broadcast; more are joined by a shuffle.
@@ -69,11 +71,13 @@ def candidates(texts: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
 
     Each of the RUNS starts from one coordinate: texts with the same token there form a
     bucket. All pairs of a small bucket are taken. A larger one is split again by
-    BRANCHES further coordinates, after each of its texts was paired with a leader that the
+    further coordinates (BRANCHES), after each of its texts was paired with a leader that the
     path's hash picks; texts that surely are near the leader are linked through it and go no
     further, so a large group of near copies costs a row for each of its texts. After the
     last level, the leader's pairs stand for the bucket. A pair of similarity s misses all
-    buckets of one level with probability (1 - s)**RUNS: 4e-9 at 0.8.
+    small buckets with probability (1 - s)**RUNS: 4e-9 at 0.8. If both texts are in large
+    buckets that have to be split d times, a run finds it with s (1 - (1 - s)**2) s**(d - 1):
+    all runs miss it with probability 2e-8 for d = 1 and 1e-5 for d = 2 at 0.8.
     """
     found = None
     rows = texts.select("key", "tokens", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), token("tokens", r)).alias("path")) for r in range(RUNS)])).alias("x")).select("key", "x.run", "x.path")
@@ -98,9 +102,9 @@ def candidates(texts: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
         large = large.join(texts.select("key", "tokens"), "key").join(leads, "path")
         near = agreement("tokens", "lead_tokens") >= SURE_ESTIMATE * COORDINATES
         large = large.filter(~near | (F.col("key") == F.col("lead")))
-        # coordinates of deeper levels are none that began a run
-        following = [RUNS + (level * BRANCHES + b) % (COORDINATES - RUNS) for b in range(BRANCHES)]
-        split = F.explode(F.array(*[F.xxhash64("path", F.lit(c), token("tokens", c)) for c in following]))
+        # each run goes on with coordinates of its own, and none that began a run
+        following = [RUNS + (F.col("run") * 3 + (level * 5 + b)) % (COORDINATES - RUNS) for b in range(BRANCHES[min(level, 1)])]
+        split = F.explode(F.array(*[F.xxhash64("path", c, F.substring(F.col("tokens"), c * 4 + 1, F.lit(4))) for c in following]))
         rows = written(large.select("key", "run", split.alias("path")), f"paths-{level + 1}")
     return found.distinct()
 
