@@ -233,6 +233,7 @@ def fit_rows(batches: list[pa.RecordBatch]) -> dict | None:
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
     flat, rows = np.concatenate(flat), place[np.concatenate(rows)]
+    del got, chunks, batches  # only the pruned words are needed from here on
     by_row = np.argsort(rows, kind="stable")
     return fit(flat[by_row], rows[by_row], pages[order], y[order], folds[order])
 
