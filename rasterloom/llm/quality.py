@@ -85,14 +85,20 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, start: np.ndarray
     return w
 
 
+def parts(n: int, size: int = 1 << 20) -> list[slice]:
+    return [slice(at, at + size) for at in range(0, n, size)]
+
+
 class TextView:
     """A log-odds model of the words that tell the labels apart."""
 
     def fit(self, flat: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray) -> TextView:
         n = len(y)
-        on = weight[rows] > 0
-        flat, rows = flat[on], rows[on]
-        bad, good = (np.bincount(flat, weights=(weight * side)[rows], minlength=DIMS) for side in (1 - y, y))
+        bad, good = np.zeros(DIMS), np.zeros(DIMS)
+        for p in parts(len(flat)):  # a part at a time, since the words are many
+            w, label = weight[rows[p]], y[rows[p]]
+            bad += np.bincount(flat[p], weights=w * (1 - label), minlength=DIMS)
+            good += np.bincount(flat[p], weights=w * label, minlength=DIMS)
         n_bad, n_good = (weight * (1 - y)).sum(), (weight * y).sum()
         p_bad, p_good = (bad + 0.2) / (n_bad + 0.4), (good + 0.2) / (n_good + 0.4)
         odds = np.log(p_good) - np.log(p_bad)
@@ -105,10 +111,12 @@ class TextView:
 
     def columns(self, flat: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
         """Sums of the words' evidence on each side, all and strong words apart, and the strongest bad word."""
-        w, s = self.weights[flat], self.strong[flat]
-        sums = [np.bincount(rows, weights=v, minlength=n) for v in (np.minimum(w, 0), np.maximum(w, 0), np.minimum(s, 0), np.maximum(s, 0))]
-        worst = np.zeros(n)
-        np.minimum.at(worst, rows, s)
+        sums, worst = np.zeros((4, n)), np.zeros(n)
+        for p in parts(len(flat)):
+            w, s, r = self.weights[flat[p]], self.strong[flat[p]], rows[p]
+            for total, v in zip(sums, (np.minimum(w, 0), np.maximum(w, 0), np.minimum(s, 0), np.maximum(s, 0)), strict=True):
+                total += np.bincount(r, weights=v, minlength=n)
+            np.minimum.at(worst, r, s)
         return np.column_stack([np.clip(sums[0], -60, 0) / 10, np.clip(sums[1], 0, 60) / 10, np.clip(sums[2], -20, 0) / 4, np.clip(sums[3], 0, 20) / 4, worst])
 
     def margin(self, flat: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
