@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, mix, word_hashes, written
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, LEVELS, SMALL = 48, 12, 6, 32
-#: Further coordinates that a large bucket is split by, at the first level and at deeper ones.
-BRANCHES = (2, 1)
+COORDINATES, RUNS, SMALL = 48, 12, 32
 #: Pairs whose estimate from all coordinates is lower are not computed exactly (over 4 standard deviations below 0.8).
-LEAST_ESTIMATE, SURE_ESTIMATE = 0.55, 0.85
+LEAST_ESTIMATE = 0.55
+#: What two blocks of a group hold at most, about, when they meet.
+TEXTS_A_BLOCK, GRAMS_A_BLOCK, COLUMNS_AT_ONCE = 1000, 500_000, 2048
 #: Up to so many 16-byte keys are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
-PAIRS_A_BATCH = 2000
+ELEMENT = np.uint32
 
 _salts = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -66,47 +66,133 @@ def token(tokens, coordinate: int):
     return F.substring(tokens, 4 * coordinate + 1, 4)
 
 
-def candidates(texts: DataFrame, small: int = SMALL, levels: int = LEVELS) -> DataFrame:
-    """Pairs (a, b), a < b, of text keys that meet on a chosen path.
+def meetings(rows: DataFrame, compare: Callable, columns: list[str]) -> DataFrame:
+    """(key, root, n_links): each text that ``compare`` links to others, with a text that its links lead to and their number.
 
-    Each of the RUNS starts from one coordinate: texts with the same token there form a
-    bucket. All pairs of a small bucket are taken. A larger one is split again by
-    further coordinates (BRANCHES), after each of its texts was paired with a leader that the
-    path's hash picks; texts that surely are near the leader are linked through it and go no
-    further, so a large group of near copies costs a row for each of its texts. After the
-    last level, the leader's pairs stand for the bucket. A pair of similarity s misses all
-    small buckets with probability (1 - s)**RUNS: 4e-9 at 0.8. If both texts are in large
-    buckets that have to be split d times, a run finds it with s (1 - (1 - s)**2) s**(d - 1):
-    all runs miss it with probability 2e-8 for d = 1 and 1e-5 for d = 2 at 0.8.
+    ``rows`` has group, key, blocks and the columns to compare. Each group is dealt into so
+    many blocks by its keys' hashes, and each two blocks meet once, in a task of their own,
+    so a large group's pairs are neither left out nor made into rows. A text has a row for
+    each meeting in which it has links.
     """
-    found = None
-    rows = texts.select("key", "tokens", F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), token("tokens", r)).alias("path")) for r in range(RUNS)])).alias("x")).select("key", "x.run", "x.path")
-    rows = written(rows, "paths-0")
-    for level in range(levels):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        met = written(rows.join(sizes, "path"), f"buckets-{level}")
-        few = met.filter(F.col("n") <= small).groupBy("path").agg(F.sort_array(F.collect_set("key")).alias("k"))
-        few = few.select(F.explode(F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
-        found = few if found is None else found.unionByName(few)
-        large = met.filter(F.col("n") > small)
-        if not large.limit(1).count():
-            break
-        lead = large.groupBy("path").agg(F.min(F.struct(F.xxhash64("key", "path").alias("h"), F.col("key"))).alias("x")).select("path", F.col("x.key").alias("lead"))
-        large = written(large.join(lead, "path"), f"large-{level}")
-        others = large.filter(F.col("key") != F.col("lead"))
-        found = found.unionByName(others.select(F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")))
-        if level == levels - 1:
-            break
-        lead = texts.select(F.col("key").alias("lead"), F.col("tokens").alias("lead_tokens"))
-        leads = large.select("path", "lead").distinct().join(lead, "lead").select("path", "lead_tokens")
-        large = large.join(texts.select("key", "tokens"), "key").join(leads, "path")
-        near = agreement("tokens", "lead_tokens") >= SURE_ESTIMATE * COORDINATES
-        large = large.filter(~near | (F.col("key") == F.col("lead")))
-        # each run goes on with coordinates of its own, and none that began a run
-        following = [RUNS + (F.col("run") * 3 + (level * 5 + b)) % (COORDINATES - RUNS) for b in range(BRANCHES[min(level, 1)])]
-        split = F.explode(F.array(*[F.xxhash64("path", c, F.substring(F.col("tokens"), c * 4 + 1, F.lit(4))) for c in following]))
-        rows = written(large.select("key", "run", split.alias("path")), f"paths-{level + 1}")
-    return found.distinct()
+
+    def result(links: np.ndarray, keys: list) -> tuple[list, list, list]:
+        label, n = joined(links), links.sum(axis=1)
+        linked = np.flatnonzero(n)
+        return [keys[i] for i in linked], [keys[label[i]] for i in linked], n[linked].tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, ...] = ([], [], [])
+        place, held = None, []
+
+        def close() -> None:
+            if len(held) > 1:
+                first = sum(not r[0] for r in held)
+                values = [[r[i] for r in held] for i in range(2, 2 + len(columns))]
+                links = np.zeros((len(held), len(held)), bool)
+                if place[1] == place[2]:
+                    links[:] = compare(*values, *values)
+                    np.fill_diagonal(links, False)
+                elif 0 < first < len(held):
+                    links[:first, first:] = compare(*(v[:first] for v in values), *(v[first:] for v in values))
+                    links |= links.T
+                for x, y in zip(out, result(links, [r[1] for r in held]), strict=True):
+                    x.extend(y)
+
+        def rows_out() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["key", "root", "n_links"])
+
+        for batch in batches:
+            for group, low, high, *r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (group, low, high) != place:
+                    close()
+                    place, held = (group, low, high), []
+                    if len(out[0]) > 10_000:
+                        yield rows_out()
+                        out = ([], [], [])
+                if not held or held[-1][1] != r[1]:  # a copy's row may be there twice
+                    held.append(r)
+        close()
+        yield rows_out()
+
+    at = F.pmod(F.xxhash64(F.lit("block"), "key"), "blocks")
+    met = rows.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    met = met.select("group", F.least("at", "other").alias("low"), F.greatest("at", "other").alias("high"), (F.col("at") > F.col("other")).alias("side"), "key", *columns)
+    return met.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "side", "key").mapInArrow(run, "key binary, root binary, n_links bigint")
+
+
+def joined(links: np.ndarray) -> np.ndarray:
+    """The least index that each one's links lead to."""
+    label = np.arange(len(links))
+    while True:
+        step = np.minimum(label, np.where(links, label, len(links)).min(axis=1, initial=len(links)))
+        step = step[step]
+        if (step == label).all():
+            return label
+        label = step
+
+
+def likely_links(similarity: float) -> Callable:
+    """Compares two lists of samples: whose sizes allow the similarity and whose estimates are not far below it."""
+
+    def compare(n_a: list, tokens_a: list, n_b: list, tokens_b: list) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(t), "<u4").reshape(-1, COORDINATES) for t in (tokens_a, tokens_b))
+        equal = np.zeros((len(x), len(y)), np.uint8)
+        for i in range(COORDINATES):
+            equal += x[:, i, None] == y[None, :, i]
+        n, m = np.array(n_a)[:, None], np.array(n_b)[None, :]
+        return (equal >= LEAST_ESTIMATE * COORDINATES) & (np.minimum(n, m) >= similarity * np.maximum(n, m))
+
+    return compare
+
+
+def exact_similarity(similarity: float) -> Callable:
+    """Compares two lists of whole sets."""
+
+    def compare(sets_a: list, sets_b: list) -> np.ndarray:
+        sets = [np.frombuffer(x, ELEMENT) for x in sets_a + sets_b]
+        size, n = np.array([len(x) for x in sets]), len(sets_a)
+        held, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(sets)), size), times > 1
+        row, column = row[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((n, len(sets) - n), np.float32)
+        for at in range(0, int(often.sum()), COLUMNS_AT_ONCE):
+            low, high = np.searchsorted(column, [at, at + COLUMNS_AT_ONCE])
+            has = np.zeros((len(sets), int(column[high - 1]) - at + 1), np.float32)
+            has[row[low:high], column[low:high] - at] = 1
+            common += has[:n] @ has[n:].T
+        common = common.astype(np.float64)
+        return common / (size[:n, None] + size[None, n:] - common) >= similarity
+
+    return compare
+
+
+def candidates(texts: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """Links (a, b), a < b, whose connected components hold the pairs that are likely similar.
+
+    Texts with the same token in one of the first RUNS coordinates form a bucket, and all
+    pairs of a bucket are compared by their samples: as rows in buckets of up to ``small``
+    texts, else in blocks, which give a link for each text instead of each pair. No text
+    leaves a bucket. A pair of similarity s is in no common bucket with probability
+    (1 - s)**RUNS: 4e-9 at 0.8.
+    """
+    rows = texts.select("key", F.explode(F.array(*[F.xxhash64(F.lit(r), token("tokens", r)) for r in range(RUNS)])).alias("path"))
+    rows = written(rows, "paths")
+    met = written(rows.join(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path"), "buckets")
+    few = met.filter(F.col("n") <= small).groupBy("path").agg(F.sort_array(F.collect_set("key")).alias("k"))
+    few = few.select(F.explode(F.flatten(F.transform("k", lambda x, i: F.transform(F.slice("k", i + 2, F.size("k")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    a, b = (texts.select(F.col("key").alias(s), F.col("n_grams").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
+    likely = few.distinct().join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    likely = likely.filter(agreement("tokens_a", "tokens_b") >= LEAST_ESTIMATE * COORDINATES).select("a", "b")
+    large = met.filter(F.col("n") > small).select("key", F.col("path").alias("group"), F.ceil(F.col("n") / TEXTS_A_BLOCK).alias("blocks"))
+    large = large.join(texts.select("key", "n_grams", "tokens"), "key")
+    return written(likely.unionByName(star(meetings(large, likely_links(similarity), ["n_grams", "tokens"]))), "likely")
+
+
+def star(rooted: DataFrame) -> DataFrame:
+    """Links (a, b), a < b, of texts to their roots."""
+    return rooted.filter("key != root").select(F.least("key", "root").alias("a"), F.greatest("key", "root").alias("b")).distinct()
 
 
 def agreement(a: str, b: str):
@@ -114,36 +200,23 @@ def agreement(a: str, b: str):
     return reduce(add, ((token(F.col(a), i) == token(F.col(b), i)).cast("int") for i in range(COORDINATES)))
 
 
-def exact_links(documents: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b, similarity) whose Jaccard similarity, computed from their whole texts, is high enough."""
-    a, b = (texts.select(F.col("key").alias(s), F.col("n_grams").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
-    likely = pairs.join(a, "a").join(b, "b").filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    likely = written(likely.filter(agreement("tokens_a", "tokens_b") >= LEAST_ESTIMATE * COORDINATES).select("a", "b"), "likely")
-    keys = written(likely.select(F.col("a").alias("key")).unionByName(likely.select(F.col("b").alias("key"))).distinct(), "likely-keys")
+def exact_links(documents: DataFrame, texts: DataFrame, labels: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
+    """(key, root, n_links) of texts whose Jaccard similarity to others with the same label, computed from whole texts, is high enough."""
     # of copies, the row of least id is read
-    keys = keys.join(texts.select("key", "rep"), "key").select(F.col("key").alias("_key"), "rep")
+    keys = written(labels.join(texts.select("key", "n_grams", "rep"), "key"), "likely-keys")
+    weight = F.sum(F.col("n_grams") + GRAMS_A_BLOCK // TEXTS_A_BLOCK)
+    many = keys.groupBy("label").agg(F.ceil(weight / GRAMS_A_BLOCK).alias("blocks")).filter("blocks > 1")
+    keys = keys.join(F.broadcast(many) if many.count() <= BROADCAST_KEYS else many, "label", "left")
+    keys = keys.select(F.col("key").alias("_key"), "rep", F.col("label").alias("group"), F.coalesce("blocks", F.lit(1).cast("bigint")).alias("blocks"))
     whole = documents.select(F.col(id_col).cast("bigint").alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("raw"))
-    whole = whole.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "raw")
+    whole = whole.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep"))).select("key", "group", "blocks", "raw")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([short(grams(x or b"", k)) for x in batch.column(1).to_pylist()], pa.binary())], names=["key", "grams"])
-
-    held = written(whole.mapInArrow(sets, "key binary, grams binary"), "gram-sets")
-    both = likely.join(held.select(F.col("key").alias("b"), F.col("grams").alias("grams_b")), "b").join(held.select(F.col("key").alias("a"), F.col("grams").alias("grams_a")), "a")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS_A_BATCH):
-                part = batch.slice(at, PAIRS_A_BATCH)
-                score = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                    common = len(x) + len(y) - len(np.union1d(x, y))
-                    score.append(common / max(len(x) + len(y) - common, 1))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+            yield pa.record_batch([*batch.columns[:3], pa.array([short(grams(x or b"", k)) for x in batch.column(3).to_pylist()], pa.binary())], names=["key", "group", "blocks", "grams"])
 
-    return both.select("a", "b", "grams_a", "grams_b").mapInArrow(compare, "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity).dropDuplicates(["a", "b"])
+    held = written(whole.mapInArrow(sets, "key binary, group binary, blocks bigint, grams binary"), "gram-sets")
+    return meetings(held, exact_similarity(similarity), ["grams"])
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -179,16 +252,17 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float
     words (white space divides words; case counts) is ``similarity`` or more. Texts with
     fewer words have one set element, all of them; texts without words are linked to none.
     Equal texts are in one class without a link. class_id is the least id in the class;
-    n_links counts the different texts that the row's text is linked to. Buckets of up to
-    ``small`` texts give all their links; in larger ones, near copies are linked to leaders.
+    n_links counts the different texts that the row's text is linked to. Pairs in buckets of up
+    to ``small`` texts are compared as rows, those in larger ones in blocks.
     Null texts count as empty. Rows with a null id have a class, too (null, if it has no
     other). An empty table gives an empty result. Other columns are not read.
     """
     read = written(samples(documents, id_col, text_col, words), "samples")
     texts = written(read.filter("n_grams > 0").groupBy("key").agg(F.first("n_grams").alias("n_grams"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("rep")), "texts")
-    links = written(exact_links(documents, texts, candidates(texts, small), id_col, text_col, words, similarity), "links")
-    label = classes(links)
-    degree = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").agg(F.count("*").alias("n_links"))
+    likely = classes(candidates(texts, similarity, small))
+    links = written(exact_links(documents, texts, likely, id_col, text_col, words, similarity), "links")
+    label = classes(written(star(links), "edges"))
+    degree = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     firsts = read.groupBy("key").agg(F.min("doc_id").alias("first"))
     firsts = written(firsts.join(label, "key", "left").join(degree, "key", "left").select("key", "first", F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), "members")
     least = firsts.groupBy("label").agg(F.min("first").alias("class_id"))

@@ -67,6 +67,33 @@ def test_large_group_is_one_class(spark):
     assert {r.class_id for r in got} == {0} and all(r.n_links for r in got)
 
 
+def template_rows(size, own=3):
+    """Copies of a template with a few words of their own; x is one of them, y is near x only."""
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(size):
+        words = base[:]
+        for j in range(own):
+            words[rng.randrange(400)] = f"own{i}.{j}"
+        rows.append((i, " ".join(words), "en", "s", 0, "k", 0))
+    for y in range(8):
+        words = rows[y][1].split()
+        at = 20 + 40 * y
+        words[at : at + 33] = [f"y{y}.{j}" for j in range(33)]
+        rows.append((size + y, " ".join(words), "en", "s", 0, "k", 0))
+    return rows
+
+
+def test_pairs_beside_a_large_group_are_found(spark):
+    rows = template_rows(300, own=6)
+    want = brute(rows)
+    near = [w for w in want if w[0] >= 300]
+    assert any(n < 30 for *_, n in near) and all(n for *_, n in near)
+    got = [(r.doc_id, r.class_id) for r in jaccard.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(w[:2] for w in want)
+
+
 def test_one_of_each(spark):
     rows = near_rows(6, groups=4)
     want = brute(rows)
