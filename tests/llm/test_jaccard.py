@@ -94,6 +94,15 @@ def test_pairs_beside_a_large_group_are_found(spark):
     assert sorted(got) == sorted(w[:2] for w in want)
 
 
+def test_links_of_a_large_group_are_counted(spark, monkeypatch):
+    if hasattr(jaccard, "TEXTS_A_BLOCK"):  # several blocks
+        monkeypatch.setattr(jaccard, "TEXTS_A_BLOCK", 40)
+        monkeypatch.setattr(jaccard, "GRAMS_A_BLOCK", 20_000)
+    rows = template_rows(120)
+    got = [(r.doc_id, r.class_id, r.n_links) for r in jaccard.near_duplicates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute(rows))
+
+
 def test_one_of_each(spark):
     rows = near_rows(6, groups=4)
     want = brute(rows)
