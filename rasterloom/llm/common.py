@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a Python worker is handed at once, in bytes; texts come whole, however long one is.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, where the session doesn't; by default they hold 10,000 rows, however long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("rasterloom.shared.dir", None)
+    """A folder of this application in ``spark.checkpoint.dir``, which goes when the driver ends.
+
+    Where that setting is unset, a temporary folder serves a local session; a cluster has no
+    folder that all executors see, then, and a ValueError says so.
+    """
+    found = spark.conf.get("rasterloom.shared.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="rasterloom-")
+        context = spark.sparkContext
+        top = context.getConf().get("spark.checkpoint.dir")
+        if not top and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = top or tempfile.mkdtemp(prefix="rasterloom-")
+        found = f"{top.rstrip('/')}/rasterloom-{context.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = context._jvm.org.apache.hadoop.fs.Path(found)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
         spark.conf.set("rasterloom.shared.dir", found)
-    return found.rstrip("/")
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 FRAME = 576  # a grey frame of 24 x 24 samples of 8 bits
 WIDTH, HEIGHT, TIMESCALE, TICKS, KEY_EVERY, CHUNK_FRAMES = 24, 24, 600, 25, 12, 16
 #: Boxes that hold boxes (fixed values of the format).
@@ -153,21 +155,60 @@ def payload_of(data: bytes, samples: list[tuple[int, int, int, bool]]) -> bytes:
     return b"".join([*parts, data[start:end]])
 
 
+def filled(text: bytes) -> bytes:
+    """A text with bytes 255 up to whole frames, one at least."""
+    return text + b"\xff" * (-len(text) % FRAME if text else FRAME)
+
+
 def store_texts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as a container; a null text is empty. Bytes 255 fill the last frame, and an empty text has one such frame."""
+    """(doc_id, n_bytes, media): each whole text as a container.
+
+    A null text is empty. Bytes 255 fill the last frame, and an empty text has one such
+    frame. Texts are stored one at a time, so the longest bounds a worker's memory; repeated
+    rows are stored as often, an empty table gives an empty one, and columns other than the
+    two are not read.
+    """
+    bounded_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 texts = [x or b"" for x in part.column(1).to_pylist()]
-                media = [mux(x + b"\xff" * (-len(x) % FRAME if x else FRAME)) for x in texts]
-                yield pa.record_batch([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+                yield pa.record_batch([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([mux(filled(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+    return _texts(documents, id_col, text_col).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+
+
+def _texts(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, n_bytes bigint, media binary")
+FEATURES = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string"
+SCHEMA = f"doc_id bigint, n_bytes bigint, {FEATURES}"
+_kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string()]
+_names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "samples", "keyframes", "error"]
 
 
-SCHEMA = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, timescale bigint, duration bigint, samples bigint, keyframes array<struct<offset:bigint,length:bigint>>, error string"
+def features(data: bytes) -> tuple:
+    """What ``FEATURES`` names, of one container's first track."""
+    sha = hashlib.sha256(data).hexdigest()
+    try:
+        t = tracks(data)[0]
+        payload = payload_of(data, t["samples"])
+    except (ValueError, IndexError, struct.error) as e:
+        return (None, None, None, len(data), sha, None, None, None, None, None, None, str(e) or type(e).__name__)
+    keys = [(o, s) for o, s, _, k in t["samples"] if k]
+    ranges = hashlib.md5(repr(keys).encode()).hexdigest()[:12]
+    feature = f"{t['handler']}/{t['codec']};{t['duration']}/{t['timescale']};samples={len(t['samples'])};keys={len(keys)};ranges={ranges}"
+    return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), sha, feature, t["codec"], t["timescale"], t["duration"], len(t["samples"]), [{"offset": o, "length": s} for o, s in keys], None)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, of 64 rows or of as many as hold 256 KB in the column."""
+    size = batch.column(column).nbytes // max(batch.num_rows, 1)
+    step = max(1, min(64, (256 << 10) // max(size, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
 
 
 def read_media(stored: DataFrame) -> DataFrame:
@@ -175,29 +216,32 @@ def read_media(stored: DataFrame) -> DataFrame:
 
     A container that can't be read gives a row with its error and null values; null media
     count as empty bytes. ``feature`` sums up codec, timing and keyframe ranges; the ranges
-    themselves are in ``keyframes``.
+    themselves are in ``keyframes``. Repeated rows give repeated rows, an empty table gives
+    an empty one, and other columns are not read.
     """
-
-    def one(data: bytes) -> tuple:
-        sha = hashlib.sha256(data).hexdigest()
-        try:
-            t = tracks(data)[0]
-            payload = payload_of(data, t["samples"])
-        except (ValueError, IndexError, struct.error) as e:
-            return (None, None, None, len(data), sha, None, None, None, None, None, None, str(e) or type(e).__name__)
-        keys = [(o, s) for o, s, _, k in t["samples"] if k]
-        ranges = hashlib.md5(repr(keys).encode()).hexdigest()[:12]
-        feature = f"{t['handler']}/{t['codec']};{t['duration']}/{t['timescale']};samples={len(t['samples'])};keys={len(keys)};ranges={ranges}"
-        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), sha, feature, t["codec"], t["timescale"], t["duration"], len(t["samples"]), [{"offset": o, "length": s} for o, s in keys], None)
+    bounded_batches(stored.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), ranges, pa.string()]
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "timescale", "duration", "samples", "keyframes", "error"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = [one(x or b"") for x in part.column(2).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_bytes", *names])
+            for part in slices(batch, 2):
+                rows = [features(x or b"") for x in part.column(2).to_pylist()]
+                yield pa.record_batch([part.column(0), part.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(_kinds))], names=["doc_id", "n_bytes", *_names])
 
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
+
+
+def text_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``read_media(store_texts(...))`` in one pass: a worker stores each text as a container and reads that again, so containers don't travel between workers."""
+    bounded_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                sizes, rows = [], []
+                for x in part.column(1):
+                    text = x.as_py() or b""
+                    sizes.append(len(text))
+                    rows.append(features(mux(filled(text))))
+                yield pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(_kinds))], names=["doc_id", "n_bytes", *_names])
+
+    return _texts(documents, id_col, text_col).mapInArrow(run, SCHEMA)

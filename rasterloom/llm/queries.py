@@ -11,7 +11,7 @@ from .common import table
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
+    return media.text_media(table(spark, sf_dir, "documents"))
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

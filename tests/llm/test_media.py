@@ -22,6 +22,9 @@ def test_round_trip(spark):
     assert all(r.error is None and r.codec == "raw " and r.duration == 25 * r.samples for r in rows)
     assert all(len(r.keyframes) == -(-r.samples // media.KEY_EVERY) for r in rows)
     assert media.read_media(media.store_texts(empty(spark))).collect() == []
+    key = lambda r: repr(r)
+    assert sorted(media.text_media(frame(spark)).collect(), key=key) == sorted(rows, key=key)
+    assert media.text_media(empty(spark)).collect() == []
 
 
 def test_samples_and_tables():
