@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def homogeneous_groups(images: DataFrame, keys: list[str], index: str = "source_index") -> DataFrame:
-    """A row for each group of equal keys, in the order of first occurrence; members are counted and summed up, not collected."""
+    """A row for each group of equal keys, in the order of first occurrence; members are counted and summed up, not collected.
+
+    Numbering the groups takes one task, which gets a row for each different key, after the
+    partial counts.
+    """
     grouped = images.groupBy(*keys).agg(F.min(index).alias("first_index"), F.count("*").alias("members"), F.max(index).alias("last_index"))
     return grouped.withColumn("group_no", F.row_number().over(Window.orderBy("first_index")) - 1)
 
@@ -27,21 +34,46 @@ def chunk_jobs(jobs: DataFrame, max_jobs: int, max_payload: int, max_descriptor:
     A chunk depends on all before it, so a bucket of one key is a fold over its jobs in
     order. ``keys`` (a stream, a device) bound what one fold gets.
     """
-    fields = F.struct(F.col(order).alias("o"), F.col("payload").alias("p"), F.col("descriptor").alias("d"))
-    held = jobs.groupBy(*keys, "bucket").agg(F.sort_array(F.collect_list(fields)).alias("jobs"))
-    chunk = "struct<first:bigint,last:bigint,n:bigint,payload:bigint,descriptor:bigint>"
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.expr(f"cast(array() as array<{chunk}>)").alias("done"), zero.alias("first"), zero.alias("last"), zero.alias("n"), zero.alias("payload"), zero.alias("descriptor"))
+    def start() -> list:
+        return [0, None, None, 0, 0, 0]  # chunk number, first, last, jobs, payload, descriptor
+
+    def step(c: list, job: tuple) -> Iterator[tuple]:
+        place, payload, descriptor = job
+        if c[3] and (c[3] == max_jobs or c[4] + payload > max_payload or c[5] + descriptor > max_descriptor):
+            yield tuple(c)
+            c[:] = [c[0] + 1, None, None, 0, 0, 0]
+        c[:] = [c[0], place if not c[3] else c[1], place, c[3] + 1, c[4] + payload, c[5] + descriptor]
+
+    def finish(c: list) -> Iterator[tuple]:
+        yield tuple(c)
 
-    def one(s: Column) -> Column:
-        return F.array(F.struct(*(s[c].alias(c) for c in ("first", "last", "n", "payload", "descriptor"))))
+    return folded(jobs, [*keys, "bucket"], [order, "payload", "descriptor"], start, step, finish, ["chunk", "first", "last", "n", "payload", "descriptor"])
 
-    def step(s: Column, j: Column) -> Column:
-        close = (s.n > 0) & ((s.n == max_jobs) | (s.payload + j.p > max_payload) | (s.descriptor + j.d > max_descriptor))
-        fresh = close | (s.n == 0)
-        return F.struct(F.when(close, F.concat(s.done, one(s))).otherwise(s.done).alias("done"), F.when(fresh, j.o).otherwise(s.first).alias("first"), j.o.alias("last"), F.when(fresh, zero + 1).otherwise(s.n + 1).alias("n"), F.when(fresh, j.p).otherwise(s.payload + j.p).alias("payload"), F.when(fresh, j.d).otherwise(s.descriptor + j.d).alias("descriptor"))
 
-    return held.select(*keys, "bucket", F.posexplode(F.aggregate("jobs", start, step, lambda s: F.concat(s.done, one(s)))).alias("chunk", "c")).select(*keys, "bucket", F.col("chunk").cast("bigint").alias("chunk"), "c.*")
+def folded(df: DataFrame, keys: list[str], columns: list[str], start: Callable[[], list], step: Callable[[list, tuple], Iterator[tuple]], finish: Callable[[list], Iterator[tuple]], names: list[str]) -> DataFrame:
+    """The rows (bigints, after the keys) that a serial fold over each group's rows, sorted by ``columns``, gives out; a group is streamed, not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state, kinds = None, None, []
+        for batch in batches:
+            out = []
+            kinds = batch.schema.types[: len(keys)]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = row[: len(keys)]
+                if state is None or key != last:
+                    if state is not None:
+                        out += [last + r for r in finish(state)]
+                    last, state = key, start()
+                out += [key + r for r in step(state, row[len(keys) :])]
+            yield record(out, kinds)
+        if state is not None:
+            yield record([last + r for r in finish(state)], kinds)
+
+    def record(rows: list[tuple], kinds: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate([*kinds, *[pa.int64()] * len(names)])], names=[*keys, *names])
+
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` bigint" for n in names)])
+    return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, schema)
 
 
 def layer_budget(target: int) -> int:
@@ -52,22 +84,28 @@ def layer_budget(target: int) -> int:
 def assign_layers(segments: DataFrame, targets: list[int], *keys: str) -> DataFrame:
     """A layer for each block of a tile (keys): segments in (block, segment) order go to the first layer, not below the block's, whose later budgets all hold them; then a block's segments share its last layer."""
     last, targets = len(targets) - 1, [layer_budget(x) for x in targets]
-    held = segments.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("block", "segment", "rate"))).alias("s"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.array(*[zero] * len(targets)).alias("used"), F.lit(None).cast("bigint").alias("block"), F.lit(0).alias("layer"), F.expr("cast(array() as array<struct<block:bigint,layer:int>>)").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        least = F.when(a.block == x.block, a.layer).otherwise(F.lit(0))
-        fits = [F.lit(True)] * len(targets)
-        for i in range(last, -1, -1):
-            here = F.get(a.used, F.lit(i)) + x.rate <= targets[i]
-            fits[i] = here if i == last else here & fits[i + 1]
-        layer = F.coalesce(*[F.when((least <= i) & fits[i], F.lit(i)) for i in range(last)], F.lit(last))
-        used = F.transform(a.used, lambda u, i: u + F.when(i >= layer, x.rate).otherwise(zero))
-        return F.struct(used.alias("used"), x.block.alias("block"), layer.alias("layer"), F.concat(a.out, F.array(F.struct(x.block.alias("block"), layer.alias("layer")))).alias("out"))
-
-    each = held.select(*keys, F.explode(F.aggregate("s", start, step, lambda a: a.out)).alias("x")).select(*keys, "x.*")
-    return each.groupBy(*keys, "block").agg(F.max("layer").alias("layer"), F.count("*").alias("segments"))
+
+    def start() -> list:
+        return [[0] * len(targets), None, 0, 0]  # bytes used by each layer, block, its layer, its segments
+
+    def step(a: list, segment: tuple) -> Iterator[tuple]:
+        used, held, least, n = a
+        block, _, rate = segment
+        if n and block != held:
+            yield held, least, n
+            n = 0
+        layer, at_least = last, least if n else 0
+        while layer > at_least and used[layer] + rate <= targets[layer] and used[layer - 1] + rate <= targets[layer - 1]:
+            layer -= 1
+        for i in range(layer, last + 1):
+            used[i] += rate
+        a[1:] = [block, layer, n + 1]
+
+    def finish(a: list) -> Iterator[tuple]:
+        yield a[1], a[2], a[3]
+
+    out = folded(segments, list(keys), ["block", "segment", "rate"], start, step, finish, ["block", "layer", "segments"])
+    return out.withColumn("layer", F.col("layer").cast("int"))
 
 
 def monotonic_layers(df: DataFrame, layer: str = "layer") -> DataFrame:

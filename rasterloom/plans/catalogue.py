@@ -244,9 +244,9 @@ def resolution_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return r.groupBy("image_id", "comp", "res").agg(F.count("*").alias("tiles"), F.sum((F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))).alias("area"), F.min("r.x0").alias("x0"), F.max("r.y1").alias("y1"))
 
 
-@query("select image_id, tile, comp, res::int as res, band, bx0 as x0, by0 as y0, bx1 as x1, by1 as y1 from bands where image_id % 10 = 0", "bands")
+@query("select image_id, tile, comp, res::int as res, band, bx0 as x0, by0 as y0, bx1 as x1, by1 as y1 from bands", "bands")
 def subband_rects(spark: SparkSession, sf: str) -> DataFrame:
-    b = grids.bands(grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf).filter("image_id % 10 = 0")))))
+    b = grids.bands(grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf)))))
     return b.select("image_id", "tile", "comp", "res", "band", *spread("b"))
 
 
@@ -299,15 +299,14 @@ def roi_window_backprop(spark: SparkSession, sf: str) -> DataFrame:
 
 # progressions
 
-PACKETS_SQL = """+ a as (select *, sx * (1::bigint << (7 + nl - res)) as stx, sy * (1::bigint << (7 + nl - res)) as sty, unnest(range(px * py)) as precinct from pcount where image_id % 20 = 0 and px * py > 0),
+PACKETS_SQL = """+ a as (select *, sx * (1::bigint << (7 + nl - res)) as stx, sy * (1::bigint << (7 + nl - res)) as sty, unnest(range(px * py)) as precinct from pcount where px * py > 0),
  f as (select *, case when tx0 % stx <> 0 and rx0 % 128 = 0 then ceil(tx0 / stx)::bigint * stx else tx0 end as fx, case when ty0 % sty <> 0 and ry0 % 128 = 0 then ceil(ty0 / sty)::bigint * sty else ty0 end as fy from a),
  g as (select *, case when precinct % px = 0 then fx else (fx // stx + precinct % px) * stx end as ref_x, case when precinct // px = 0 then fy else (fy // sty + precinct // px) * sty end as ref_y from f),
  p as (select *, unnest(range(2)) as layer from g) """
 
 
 def _packets(spark: SparkSession, sf: str) -> DataFrame:
-    images = t.siz(spark, sf).filter("image_id % 20 = 0")
-    return progression.packets(grids.precincts(grids.resolutions(grids.components(grids.tiles(images)))), 2)
+    return progression.packets(grids.precincts(grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf))))), 2)
 
 
 def _progression(order: str):
