@@ -40,5 +40,18 @@ def test_bounds_hold():
     assert (np.abs(exact - near) <= slack + 1e-6).all()
 
 
+def test_repeated_query_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0, rng.normal(size=8).tolist()), (0, rng.normal(size=8).tolist())] + [(i, rng.normal(size=8).tolist()) for i in (1, 2, 3)]
+    rows += [rows[0]] * 2
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3), k=2, every=10).collect()
+    want = []
+    for i, v in rows:
+        if i == 0:
+            best = sorted((-float(neighbours.cosine(np.array([v]), np.array([w]))[0]), j) for j, w in rows if j)
+            want += [(0, r + 1, j, -s) for r, (s, j) in enumerate(best[:2])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_empty(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
