@@ -11,17 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mix, word_hashes, written
+from .common import bounded_batches, gram_hashes, mix, word_hashes, written
 
 WORDS, SIMILARITY = 5, 0.8
-COORDINATES, RUNS, SMALL = 48, 12, 32
-#: Pairs whose estimate from all coordinates is lower are not computed exactly (over 4 standard deviations below 0.8).
-LEAST_ESTIMATE = 0.55
+COORDINATES, SMALL = 48, 32
+#: Runs are repeated until a pair of the similarity is found with this probability.
+RECALL = 1 - 1e-8
+#: Pairs whose estimate from all coordinates is lower are not computed exactly; at 0.8 that meets one in 10**9.
+LEAST_ESTIMATE = 0.4
 #: What two blocks of a group hold at most, about, when they meet.
 TEXTS_A_BLOCK, GRAMS_A_BLOCK, COLUMNS_AT_ONCE = 1000, 500_000, 2048
 #: Up to so many 16-byte keys are broadcast; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
-ELEMENT = np.uint32
 
 _salts = mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -32,9 +33,12 @@ def grams(raw: bytes, k: int = WORDS) -> np.ndarray:
     return np.unique(gram_hashes(words, min(k, max(len(words), 1))))
 
 
-def short(g: np.ndarray) -> bytes:
-    """A set in 32 bits an element: two of 1,000 elements have a false one in common once in 4,000 times."""
-    return np.unique((g >> np.uint64(32)).astype(np.uint32)).tobytes()
+def runs_for(similarity: float, recall: float = RECALL) -> int:
+    """The least number of runs of which one at least finds a pair of that similarity with the wanted probability."""
+    runs = 1
+    while (1 - similarity) ** runs > 1 - recall and runs < COORDINATES:
+        runs += 1
+    return runs
 
 
 def sample(g: np.ndarray) -> bytes:
@@ -149,7 +153,7 @@ def exact_similarity(similarity: float) -> Callable:
     """Compares two lists of whole sets."""
 
     def compare(sets_a: list, sets_b: list) -> np.ndarray:
-        sets = [np.frombuffer(x, ELEMENT) for x in sets_a + sets_b]
+        sets = [np.frombuffer(x, np.uint64) for x in sets_a + sets_b]
         size, n = np.array([len(x) for x in sets]), len(sets_a)
         held, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row, often = np.repeat(np.arange(len(sets)), size), times > 1
@@ -171,13 +175,14 @@ def exact_similarity(similarity: float) -> Callable:
 def candidates(texts: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
     """Links (a, b), a < b, whose connected components hold the pairs that are likely similar.
 
-    Texts with the same token in one of the first RUNS coordinates form a bucket, and all
-    pairs of a bucket are compared by their samples: as rows in buckets of up to ``small``
+    Each run splits the texts by a token sampled from their sets, one coordinate a run, and
+    all pairs of a bucket are compared by their samples: as rows in buckets of up to ``small``
     texts, else in blocks, which give a link for each text instead of each pair. No text
     leaves a bucket. A pair of similarity s is in no common bucket with probability
-    (1 - s)**RUNS: 4e-9 at 0.8.
+    (1 - s)**runs; runs are repeated until that is under 1 - RECALL (12 runs, 4e-9, at 0.8).
     """
-    rows = texts.select("key", F.explode(F.array(*[F.xxhash64(F.lit(r), token("tokens", r)) for r in range(RUNS)])).alias("path"))
+    runs = runs_for(similarity)
+    rows = texts.select("key", F.explode(F.array(*[F.xxhash64(F.lit(r), token("tokens", r)) for r in range(runs)])).alias("path"))
     rows = written(rows, "paths")
     met = written(rows.join(rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path"), "buckets")
     few = met.filter(F.col("n") <= small).groupBy("path").agg(F.sort_array(F.collect_set("key")).alias("k"))
@@ -213,7 +218,7 @@ def exact_links(documents: DataFrame, texts: DataFrame, labels: DataFrame, id_co
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:3], pa.array([short(grams(x or b"", k)) for x in batch.column(3).to_pylist()], pa.binary())], names=["key", "group", "blocks", "grams"])
+            yield pa.record_batch([*batch.columns[:3], pa.array([grams(x or b"", k).tobytes() for x in batch.column(3).to_pylist()], pa.binary())], names=["key", "group", "blocks", "grams"])
 
     held = written(whole.mapInArrow(sets, "key binary, group binary, blocks bigint, grams binary"), "gram-sets")
     return meetings(held, exact_similarity(similarity), ["grams"])
@@ -257,6 +262,7 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float
     Null texts count as empty. Rows with a null id have a class, too (null, if it has no
     other). An empty table gives an empty result. Other columns are not read.
     """
+    bounded_batches(documents.sparkSession)
     read = written(samples(documents, id_col, text_col, words), "samples")
     texts = written(read.filter("n_grams > 0").groupBy("key").agg(F.first("n_grams").alias("n_grams"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("rep")), "texts")
     likely = classes(candidates(texts, similarity, small))
@@ -270,7 +276,11 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, similarity: float
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
-    """The documents of which the class has no row with a smaller id; rows with a null id stay."""
+    """The documents of which the class has no row with a smaller id; rows with a null id stay.
+
+    Null, empty and wordless texts are a class for each different text; rows that share the
+    least id all stay. An empty table gives an empty one; the columns stay as they are.
+    """
     kept = near_duplicates(documents, **how).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     # the texts are not exchanged, if the ids are few enough to be broadcast
     n = kept.count()
