@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that are indexed together; bounds a worker's memory, but for single longer texts.
@@ -363,8 +365,10 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, id_col: str
     gives the text again (U+2581 stands for a space in this format, and comes back as one).
     Null and empty texts have no tokens. The driver reads the model file; its bytes (under
     1 MB) go to the workers. Distinct words of a batch are indexed together, so repeated
-    rows and words cost one search. Other columns are not read.
+    rows and words cost one search. An empty table gives an empty one. Other columns are not
+    read.
     """
+    bounded_batches(documents.sparkSession)
     with open(model_path, "rb") as f:
         model = documents.sparkSession.sparkContext.broadcast(f.read())
 
@@ -387,7 +391,8 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, id_col: str
 
 
 def decode_documents(encoded: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """doc_id and text of token lists; a null list gives a null text."""
+    """doc_id and text of token lists; a null list gives a null text, an empty table an empty one, repeated rows repeated ones."""
+    bounded_batches(encoded.sparkSession)
     with open(model_path, "rb") as f:
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, span_hash
+from .common import bounded_batches, prefix_hash, span_hash
 
 #: At most about so many labelled and unlabelled rows are fitted on, chosen by a hash of the id.
 LABELLED_ROWS, POOL_ROWS = 12_000, 4_000
@@ -247,6 +247,7 @@ def fit_rows(batches: list[pa.RecordBatch]) -> dict | None:
 
 
 def _plain(documents: DataFrame) -> DataFrame:
+    bounded_batches(documents.sparkSession)
     have = set(documents.columns)
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("_raw"), *((F.col(n).cast("string") if n in have else F.lit(None).cast("string")).alias(f"_{n}") for n in ("source", "lang")))
 
@@ -288,8 +289,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 t, p, s = score([x or b"" for x in part.column(1).to_pylist()], part.column(2).to_pylist(), part.column(3).to_pylist())
                 yield pa.record_batch([part.column(0), pa.array(np.round(t, 6)), pa.array(np.round(p, 6)), pa.array(np.round(s, 6)), pa.array(s >= threshold)], names=["doc_id", "text_score", "page_score", "score", "keep"])
 
@@ -297,15 +298,19 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
 
 
 def clean_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier keeps, with their columns; one pass over the texts."""
+    """The documents that the classifier keeps, with their columns; one pass over the texts.
+
+    Null and empty texts are scored as empty ones, repeated rows alike; an empty table gives
+    an empty one, and without labels of both kinds all documents stay.
+    """
     model = documents.sparkSession.sparkContext.broadcast(train(_plain(documents), labels))
     columns, at = documents.columns, {n: i for i, n in enumerate(documents.columns)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(model.value)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, 200):
+                part = batch.slice(begin, 200)
                 texts, none = part.column(at["text"]).cast(pa.binary()).to_pylist(), [None] * part.num_rows
                 source, lang = (part.column(at[n]).cast(pa.string()).to_pylist() if n in at else none for n in ("source", "lang"))
                 yield part.filter(pa.array(score([x or b"" for x in texts], source, lang)[2] >= threshold))
