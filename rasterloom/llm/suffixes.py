@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hash, span_hash, window_minima, written
+from .common import bounded_batches, mix, prefix_hash, span_hash, window_minima, written
 
 LENGTH, GRAM, PARTS = 400, 16, 3
 BLOCK_BYTES = 1_000_000
@@ -20,8 +20,42 @@ BROADCAST_KEYS = 200_000
 SEAM, END = 0xFF, 0xFE  # bytes that UTF-8 never has
 
 
+def eight_bytes(data: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each place as a number, zeros beyond the end; for ``depth`` places more than there are bytes."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+    words = np.zeros(n + depth, np.uint64)
+    for i in range(8):
+        words = (words << np.uint64(8)) | padded[i : i + n + depth]
+    return words
+
+
+def sorted_directly(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Places sorted by the bytes from there, eight at a time; only what is equal so far is sorted further. Equal ones keep their order."""
+    key = words[at]
+    order = np.argsort(key, kind="stable")
+    at, key = at[order], key[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(at) else np.zeros(0, bool)
+    for off in range(8, depth, 8):
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        live = np.flatnonzero(tied)
+        if not len(live):
+            break
+        key, first = words[at[live] + off], np.flatnonzero(new[live])
+        # most groups go on alike, as copies do, and stay in their order
+        unlike = np.minimum.reduceat(key, first) != np.maximum.reduceat(key, first)
+        sizes = np.diff(np.concatenate([first, [len(live)]]))
+        part = np.repeat(unlike, sizes)
+        live, key, group = live[part], key[part], np.repeat(np.arange(len(first)), sizes)[part]
+        order = np.lexsort((key, group))
+        at[live], key = at[live][order], key[order]
+        new[live[1:]] |= key[1:] != key[:-1]
+    return at
+
+
 def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``data`` (which ends with its only END + 1 = greatest byte pattern or any byte), sorted by their first ``depth`` bytes at least.
+    """The suffixes of ``data``, sorted by their first ``depth`` bytes at least.
 
     Suffixes smaller than their successors are sorted directly. Each other suffix is greater
     than its successor, so a scan of the buckets in rising order meets the successor first:
@@ -39,11 +73,7 @@ def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         inside = at < len(change)
         edge = change[at[inside]]
         smaller[inside] = data[edge] < data[edge + 1]
-    letters = data.tobytes().decode("latin-1")
-    direct = np.flatnonzero(smaller)
-    keys = [letters[i : i + depth] for i in direct.tolist()]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)] if keys else direct
-    del keys
+    direct = sorted_directly(eight_bytes(data, depth), np.flatnonzero(smaller)[::-1], depth)
     counts = np.bincount(data, minlength=256)
     starts = np.concatenate([[0], np.cumsum(counts)])
     out = np.full(n, -1, np.int64)
@@ -83,24 +113,19 @@ def two_stage_suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def adjacent_common(data: np.ndarray, suffixes: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each suffix shares its first ``depth`` bytes with the one before it."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-    words = np.zeros(n + depth, np.uint64)
-    for i in range(8):
-        words = (words << np.uint64(8)) | padded[i : i + n + depth]
-    same = np.zeros(len(suffixes), bool)
-    live = np.arange(1, len(suffixes))
-    a, b = suffixes[1:], suffixes[:-1]
-    fits = np.maximum(a, b) + depth <= n
-    live, a, b = live[fits], a[fits], b[fits]
-    for off in [*range(0, depth - 8, 8), max(depth - 8, 0)]:
-        x = words[a + off] ^ words[b + off]
-        equal = (x >> np.uint64(8 * max(8 - depth, 0))) == 0
-        live, a, b = live[equal], a[equal], b[equal]
-    same[live] = True
-    return same
+def common_prefixes(data: np.ndarray, suffixes: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """How many bytes each suffix shares with the one before it, up to ``depth``; 0 where ``wanted`` (by place) leaves one of them out."""
+    words, common = eight_bytes(data, depth), np.zeros(len(suffixes), np.int64)
+    live = np.arange(1, len(suffixes)) if wanted is None else 1 + np.flatnonzero(wanted[suffixes[1:]] & wanted[suffixes[:-1]])
+    a, b = suffixes[live], suffixes[live - 1]
+    for off in range(0, depth, 8):
+        other = words[a + off] ^ words[b + off]
+        unlike = other != 0
+        common[live[unlike]] = off + sum((other[unlike] >> np.uint64(56 - 8 * j) == 0).astype(np.int64) for j in range(8))
+        live, a, b = live[~unlike], a[~unlike], b[~unlike]
+    common[live] = depth
+    common[1:] = np.minimum(common[1:], len(data) - np.maximum(suffixes[1:], suffixes[:-1]))
+    return np.minimum(common, depth)
 
 
 class Shape:
@@ -169,8 +194,8 @@ def contexts(wanted: DataFrame, shape: Shape) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 200):
-                part = batch.slice(begin, 200)
+            for begin in range(0, batch.num_rows, 50):
+                part = batch.slice(begin, 50)
                 cores, arounds, before, after = [], [], [], []
                 for raw, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for r in rows:
@@ -198,8 +223,10 @@ def repeated_windows(block: list[tuple[int, bytes, bytes]], s: int) -> list[np.n
         seams[i] = at + len(before)
         at += len(before) + 6 + len(after)
     data = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.array([len(x) for x in parts])  # windows begin before a seam or at it
+    wanted = np.repeat(np.arange(len(sizes)) % 5 < 2, sizes)
     suffixes = two_stage_suffix_array(data, depth)
-    same = adjacent_common(data, suffixes, depth)
+    same = common_prefixes(data, suffixes, depth, wanted) >= depth
     twice = np.zeros(len(data) + s, bool)
     twice[suffixes[same]] = True
     twice[suffixes[np.flatnonzero(same) - 1]] = True
@@ -307,7 +334,7 @@ def removed_spans(texts: DataFrame, shape: Shape) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            rows = [one(raw or b"", found) for raw, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            rows = [one(raw.as_py() or b"", found.as_py()) for raw, found in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows])], names=["key", "n_removed", "spans", "kept_sha256"])
 
     return texts.select("key", "raw", "list").mapInArrow(run, "key binary, n_removed bigint, spans array<struct<start:bigint,end:bigint>>, kept_sha256 string")
@@ -328,14 +355,17 @@ def repeated_strings(documents: DataFrame, length: int = LENGTH, block_bytes: in
     ids are not looked at. An empty table gives an empty result; other columns are not read.
 
     Cores (see Shape) are counted over all documents. A core that always has the same context
-    and is there twice makes all its windows repeated; else the windows over its different
-    contexts are compared in suffix arrays.
+    and is there twice makes all its windows repeated, which its hash tells without a suffix
+    array; else the windows over its different contexts are compared by the common prefixes
+    of neighbours in suffix arrays. Cores with more than ``hot_contexts`` contexts would fill
+    one task: the hashes of their windows are counted instead, with the same result.
     """
+    bounded_batches(documents.sparkSession)
     shape = Shape(length)
     raw = F.col(text_col).cast("binary")
     plain = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.coalesce(raw, F.lit("").cast("binary")).alias("raw"))
     per_text = written(plain.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max(F.octet_length("raw")).alias("size")), "copies")
-    rows = core_rows(plain.filter(F.octet_length("raw") >= length), shape)
+    rows = written(core_rows(plain.filter(F.octet_length("raw") >= length), shape), "cores")
     cores = rows.groupBy("core").agg(F.sum("n").alias("total"), F.min("around").alias("least"), F.max("around").alias("most")).filter("total > 1")
     cores = cores.select("core", (F.col("least") != F.col("most")).alias("several"))
     found = written(rows.join(cores, "core"), "repeated-cores")

@@ -1,6 +1,7 @@
 """Two-stage suffix arrays and repeated strings, against brute force."""
 
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -32,9 +33,12 @@ def test_suffix_array(seed):
     got = suffixes.two_stage_suffix_array(data, 400)
     raw = data.tobytes()
     assert got.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-    common = suffixes.adjacent_common(data, got, 9)
-    assert common.tolist() == [False] + [raw[a : a + 9] == raw[b : b + 9] and len(raw) - max(a, b) >= 9 for a, b in zip(got[1:], got[:-1])]
+    for depth in (9, 16, 21):
+        common = suffixes.common_prefixes(data, got, depth)
+        assert common.tolist() == [0] + [min(depth, len(os.path.commonprefix([raw[a:], raw[b:]]))) for a, b in zip(got[1:], got[:-1])]
     assert suffixes.two_stage_suffix_array(np.zeros(0, np.uint8), 4).tolist() == []
+    zeros = np.frombuffer(b"ab\0\0ab\0ab", np.uint8)
+    assert suffixes.two_stage_suffix_array(zeros, 40).tolist() == sorted(range(9), key=lambda i: zeros.tobytes()[i:])
 
 
 @pytest.mark.parametrize("hot", [20_000, 2])
