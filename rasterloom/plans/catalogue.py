@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, dct, geometry, huffman, quant, rects, resample, wavelet
+from ..functions import color, dct, geometry, huffman, packets, quant, rects, resample, wavelet
 from ..functions.columns import big, clamp, let, shr
 from ..operators import batches, grids, metrics, progression, rate
 from . import inputs as t
@@ -549,3 +549,39 @@ def box_walk(spark: SparkSession, sf: str) -> DataFrame:
     b = containers.box_rows(made, key="image").groupBy(F.col("type").alias("name")).agg(F.count("*").alias("n"))
     m = containers.marker_rows(made, key="image").groupBy(F.col("marker").alias("name")).agg(F.count("*").alias("n"))
     return b.unionByName(m)
+
+
+# packet header lengths and encoder rules
+
+@query("""select job, length_bits, cleanup_bits, fits, case
+  when passes = 0 then case when size <> 0 or cleanup <> 0 or refinement <> 0 then 'empty_has_segments' end
+  when cleanup = 0 and refinement <> 0 then case when refinement <> size then 'refinement_only_mismatch' when refinement >= 2047 then 'refinement_out_of_range' end
+  when passes = 1 then case when refinement <> 0 then 'single_pass_has_refinement' when cleanup not in (0, size) then 'single_pass_mismatch' end
+  when cleanup = 0 or refinement = 0 then 'segments_required' when cleanup + refinement <> size then 'multi_pass_mismatch'
+  when cleanup < 2 or cleanup >= 65535 then 'cleanup_out_of_range' when refinement >= 2047 then 'refinement_out_of_range' end as error
+from (select event_id as job, event_id % 9 as passes,
+    (3 + case when event_id % 9 >= 8 then 3 when event_id % 9 >= 4 then 2 when event_id % 9 >= 2 then 1 else 0 end)::bigint as length_bits,
+    (3 + case when event_id % 9 >= 7 then 2 when event_id % 9 >= 4 then 2 else 0 end)::bigint as cleanup_bits, event_id % 70 < (1::bigint << (event_id % 9)) as fits,
+    case when event_id % 5 in (0, 1) then 0 else event_id % 70 end as cleanup, case when event_id % 5 in (0, 2) then 0 else (event_id * 131) % 3000 end as refinement,
+    case when event_id % 5 in (0, 1) then 0 else event_id % 70 end + case when event_id % 5 in (0, 2) then 0 else (event_id * 131) % 3000 end + case when event_id % 11 = 0 then 1 else 0 end as size from events)""")
+def packet_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("event_id")
+    passes, kind = key % 9, key % 5
+    cleanup, refinement = F.when(kind.isin(0, 1), 0).otherwise(key % 70), F.when(kind.isin(0, 2), 0).otherwise((key * 131) % 3000)
+    size = cleanup + refinement + F.when(key % 11 == 0, 1).otherwise(0)
+    return t.load(spark, sf, "events").select(
+        key.alias("job"), packets.length_bits(F.lit(3), passes).cast("bigint").alias("length_bits"), packets.cleanup_length_bits(F.lit(3), passes).cast("bigint").alias("cleanup_bits"),
+        packets.fits_bits(key % 70, passes).alias("fits"), packets.segment_error(passes, size, cleanup, refinement).alias("error"))
+
+
+@query("""select image_id, least(floor(log2(least(w, h)))::bigint, case when a is not null then case when least(w, h) < 64 then 0 else a end
+    when p then case when least(w, h) <= 64 then 0 else ceil(log2(least(w, h) / 64))::bigint end else case when least(w, h) >= 64 then 1 else 0 end end)::bigint as levels,
+  case when greatest(we, he) > 10 then 'side_too_large' when least(we, he) < 2 then 'side_too_small' when we + he > 12 then 'area_too_large' end as block_error,
+  ceil(w * h * 0.75 / 8)::bigint as target, greatest((ceil(w * h * 0.75 / 8)::bigint + 99) // 100, 512)::bigint as tolerance
+from (select image_id, grid_w // (1 + image_id % 3) as w, grid_h // (1 + image_id % 2) as h, image_id % 2 = 0 as p, case when image_id % 4 = 0 then image_id % 13 end as a, image_id % 13 as we, image_id % 11 as he from siz)""", "siz")
+def encoder_rules(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("image_id")
+    w, h = F.call_function("div", F.col("grid_w"), 1 + i % 3), F.call_function("div", F.col("grid_h"), 1 + i % 2)
+    target = packets.byte_target(w, h, F.lit(0.75))
+    levels = packets.lossless_levels(w, h, i % 2 == 0, F.when(i % 4 == 0, i % 13))
+    return t.siz(spark, sf).select(i, levels.cast("bigint").alias("levels"), packets.block_error(i % 13, i % 11).alias("block_error"), target.alias("target"), packets.byte_tolerance(target).alias("tolerance"))
