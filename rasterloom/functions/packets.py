@@ -66,3 +66,55 @@ def byte_target(width: Column, height: Column, bits_per_pixel: Column) -> Column
 
 def byte_tolerance(target: Column) -> Column:
     return F.greatest(ceil_div(target.cast("bigint"), 100), big(512))
+
+
+def scale_denominator(scale: Column) -> Column:
+    """Null for an unknown scale."""
+    return F.when(scale == "none", 1).when(scale == "half", 2).when(scale == "quarter", 4).when(scale == "eighth", 8)
+
+
+def scaled_block_size(scale: Column) -> Column:
+    """The side of a decoded DCT block."""
+    return F.call_function("div", big(8), big(scale_denominator(scale)))
+
+
+def worker_count(batch: Column, asked: Column, available: Column) -> Column:
+    """One for a batch of at most one; else the asked or available workers, no more than the batch needs."""
+    return F.when(batch <= 1, 1).otherwise(F.least(F.greatest(F.coalesce(asked, available), F.lit(1)), batch))
+
+
+def roi_bitplanes(bitplanes: Column, shift: Column, most: Column) -> Column:
+    """Null where the shifted bitplanes pass the limit."""
+    return F.when(bitplanes + shift <= F.least(most, F.lit(255)), bitplanes + shift)
+
+
+def roi_unshift(value: Column, shift: Column) -> Column:
+    """Magnitudes of 2**shift or more belong to the region and go down; shifts of 63 or more leave all as they are."""
+    bits = F.least(shift, F.lit(62)).cast("int")
+    down = F.call_function("shiftright", F.abs(value), bits)
+    return F.when((shift > 0) & (shift < 63) & (down > 0), F.signum(value).cast("bigint") * down).otherwise(value)
+
+
+def bits_per_pixel(size: Column, width: Column, height: Column) -> Column:
+    """Null for an empty image."""
+    return F.when((width > 0) & (height > 0), size * 8.0 / (width.cast("double") * height))
+
+
+def samples_per_image(width: Column, height: Column, channels: Column) -> Column:
+    """Null where the product leaves 64 bits."""
+    return F.try_multiply(F.try_multiply(big(width), big(height)), big(channels))
+
+
+def step_entry(style: Column, steps: Column, band: Column, resolution: Column, levels: Column) -> Column:
+    """(exponent, mantissa, error) of a band, from an array of steps (exponent, mantissa).
+
+    Styles ``none`` and ``expounded`` have an entry for each band, LL at resolution 0 only;
+    ``derived`` counts the exponent from the first entry's by the band's level.
+    """
+    place = F.when(resolution == 0, 0).when(band == "LL", -1).otherwise(1 + (resolution - 1) * 3 + F.when(band == "HL", 0).when(band == "LH", 1).otherwise(2))
+    derived = style == "derived"
+    entry = F.get(steps, F.when(derived, 0).otherwise(place).cast("int"))
+    from_first = entry["exponent"] - levels + F.when(resolution == 0, levels).otherwise(levels + 1 - resolution)
+    error = F.when(entry.isNull(), "missing_step").when(derived & (entry["exponent"] < levels), "invalid_exponents")
+    exponent = F.when(error.isNull(), F.when(derived, from_first).otherwise(entry["exponent"]))
+    return F.struct(exponent.alias("exponent"), F.when(error.isNull(), entry["mantissa"]).alias("mantissa"), error.alias("error"))

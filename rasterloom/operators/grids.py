@@ -102,3 +102,16 @@ def region_windows(plans: DataFrame, reversible: bool = True) -> DataFrame:
         out = out.withColumn(f"{n}0", F.greatest(F.call_function("div", low, scale) - margin, big(0)))
         out = out.withColumn(f"{n}1", F.least(ceil_shift(high, F.col("level").cast("int")) + margin, ceil_shift(F.col(size), F.col("level").cast("int"))))
     return out
+
+
+def window_union(windows: DataFrame, *keys: str) -> DataFrame:
+    """The rectangle around each key's windows (x0, y0, x1, y1) that aren't empty."""
+    some = windows.filter("x1 > x0 and y1 > y0")
+    return some.groupBy(*keys).agg(*(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+
+
+def required_blocks(blocks: DataFrame, windows: DataFrame, *keys: str) -> DataFrame:
+    """The blocks (x0, y0, x1, y1) that meet their key's window; ``windows`` has one row a key."""
+    w = windows.select(*keys, *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")))
+    meets = "x0 < _x1 and _x0 < x1 and y0 < _y1 and _y0 < y1"
+    return blocks.join(w, list(keys)).filter(meets).select(*blocks.columns)

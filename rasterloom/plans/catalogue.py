@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color, dct, geometry, huffman, packets, quant, rects, resample, wavelet
+from ..functions import color, dct, geometry, huffman, packets, packing, quant, rects, resample, wavelet
 from ..functions.columns import big, clamp, let, shr
 from ..operators import batches, grids, metrics, progression, rate
 from . import inputs as t
@@ -585,3 +585,72 @@ def encoder_rules(spark: SparkSession, sf: str) -> DataFrame:
     target = packets.byte_target(w, h, F.lit(0.75))
     levels = packets.lossless_levels(w, h, i % 2 == 0, F.when(i % 4 == 0, i % 13))
     return t.siz(spark, sf).select(i, levels.cast("bigint").alias("levels"), packets.block_error(i % 13, i % 11).alias("block_error"), target.alias("target"), packets.byte_tolerance(target).alias("tolerance"))
+
+
+# pixels, windows and small decoder rules
+
+PLANES = "u as (select vec_id, i, greatest(0, least(255, v + 128)) as u from px), p as (select vec_id, 0 as c, i, u as v from u union all select vec_id, 1, 63 - i, u from u union all select vec_id, 2, i, 255 - u from u)"
+
+
+def _pixels(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.transform("s", lambda v: clamp(v + 128, 0, 255))
+    return t.line(spark, sf).select("vec_id", packing.interleave(F.array(u, F.reverse(u), F.transform(u, lambda v: 255 - v))).alias("pixels"))
+
+
+@query(f"+ {PLANES}, q as (select * from p union all select vec_id, 3, i, 255 from u) select vec_id, (((i // 8 - 1) * 4 + i % 8 - 2) * 4 + c)::int as place, v::bigint as v from q where i % 8 between 2 and 5 and i // 8 between 1 and 4", "px")
+def pixel_region(spark: SparkSession, sf: str) -> DataFrame:
+    """A region of pixels with an opaque fourth channel."""
+    cut = packing.region(packing.add_alpha(F.col("pixels")), 4, 8, 2, 1, 6, 5)
+    return _pixels(spark, sf).select("vec_id", F.posexplode(cut).alias("place", "v"))
+
+
+@query(f"+ {PLANES} select vec_id, c::int as channel, i::int as place, (v - 128)::bigint as v from p", "px")
+def pixel_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Centred planes of pixels that had and lost an alpha channel."""
+    planes = packing.deinterleave(packing.drop_alpha(packing.add_alpha(F.col("pixels"))), 3, 8)
+    d = _pixels(spark, sf).select("vec_id", F.posexplode(planes).alias("channel", "plane"))
+    return d.select("vec_id", "channel", F.posexplode("plane").alias("place", "v"))
+
+
+@query("+ l as (select vec_id, s from line) select vec_id, (i // 8 * 11 + i % 8)::int as place, s[i + 1] as v from (select *, unnest(range(64)) as i from l) union all select vec_id, (y * 11 + 8 + x)::int, 0::bigint from l, range(7) a(y), range(3) b(x)", "line")
+def strided_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return t.line(spark, sf).select("vec_id", F.posexplode(packing.strided(F.col("s"), 8, 11)).alias("place", "v"))
+
+
+@query("""+ w as (select image_id, min(x) as x0, min(y) as y0, max(x + w) as x1, max(y + h) as y1 from roi where w > 0 and h > 0 group by image_id),
+ b as (select image_id, gx * 64 as x0, gy * 64 as y0, least(gx * 64 + 64, grid_w) as x1, least(gy * 64 + 64, grid_h) as y1 from (select *, unnest(range(down)) as gy from (select *, unnest(range(ceil(grid_w / 64)::bigint)) as gx, ceil(grid_h / 64)::bigint as down from siz)))
+ select image_id, count(*) as blocks, min(b.x0) as x0, min(b.y0) as y0, max(b.x1) as x1, max(b.y1) as y1 from b join w using (image_id) where b.x0 < w.x1 and w.x0 < b.x1 and b.y0 < w.y1 and w.y0 < b.y1 group by image_id""", "roi", "siz")
+def roi_block_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The blocks of an image that the rectangle around its regions needs."""
+    regions = t.roi(spark, sf).select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
+    cells = [F.explode(F.sequence(big(0), F.call_function("div", F.col(side) - 1, big(64)))).alias(n) for side, n in (("grid_w", "gx"), ("grid_h", "gy"))]
+    b = t.siz(spark, sf).select("image_id", "grid_w", "grid_h", cells[0]).select("*", cells[1])
+    b = b.select("image_id", (F.col("gx") * 64).alias("x0"), (F.col("gy") * 64).alias("y0"), F.least(F.col("gx") * 64 + 64, F.col("grid_w")).alias("x1"), F.least(F.col("gy") * 64 + 64, F.col("grid_h")).alias("y1"))
+    needed = grids.required_blocks(b, grids.window_union(regions, "image_id"), "image_id")
+    return needed.groupBy("image_id").agg(F.count("*").alias("blocks"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+@query("""select event_id as job, d::bigint as denominator, (8 // d)::bigint as block_side, (case when event_id % 6 <= 1 then 1 else least(greatest(coalesce(case when event_id % 3 = 0 then event_id % 7 end, 4), 1), event_id % 6) end)::bigint as workers,
+  case when event_id % 30 + event_id % 11 <= 31 then event_id % 30 + event_id % 11 end as bitplanes, case when event_id % 11 > 0 and abs(k) >= (1::bigint << (event_id % 11)) then sign(k)::bigint * (abs(k) >> (event_id % 11)) else k end as unshifted,
+  round(event_id * 8.0::double / (16 * (1 + event_id % 9)), 6) as bpp, 16 * (1 + event_id % 9) * (1 + event_id % 4) as samples
+from (select event_id, (event_id * 37) % 5001 - 2500 as k, [1, 2, 4, 8][1 + event_id % 4] as d from events)""")
+def decoder_rules(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    scale = F.when(k % 4 == 0, "none").when(k % 4 == 1, "half").when(k % 4 == 2, "quarter").otherwise("eighth")
+    return t.load(spark, sf, "events").select(
+        k.alias("job"), big(packets.scale_denominator(scale)).alias("denominator"), packets.scaled_block_size(scale).alias("block_side"), big(packets.worker_count(k % 6, F.when(k % 3 == 0, k % 7), big(4))).alias("workers"),
+        packets.roi_bitplanes(k % 30, k % 11, F.lit(31)).alias("bitplanes"), packets.roi_unshift((k * 37) % 5001 - 2500, k % 11).alias("unshifted"),
+        fixed(packets.bits_per_pixel(k, big(16), 1 + k % 9)).alias("bpp"), packets.samples_per_image(big(16), 1 + k % 9, 1 + k % 4).alias("samples"))
+
+
+@query("""+ a as (select p_partkey as id, p_partkey % 4 as res, ['LL', 'HL', 'LH', 'HH'][1 + (p_partkey // 4) % 4] as band, p_partkey % 3 as style, 1 + p_partkey % 10 as n, p_partkey % 7 as e0 from part),
+ b as (select *, case when style = 2 or res = 0 then 0 when band = 'LL' then -1 else 1 + (res - 1) * 3 + case band when 'HL' then 0 when 'LH' then 1 else 2 end end as place from a),
+ c as (select *, case when place < 0 or place >= n then 'missing_step' when style = 2 and e0 < 3 then 'invalid_exponents' end as error from b)
+ select id, case when error is null then case when style = 2 then e0 - 3 + case when res = 0 then 3 else 4 - res end else e0 + place end end::bigint as exponent, case when error is null then place * 5 end::bigint as mantissa, error from c""")
+def step_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    steps = F.transform(F.sequence(big(0), k % 10), lambda i: F.struct((k % 7 + i).alias("exponent"), (i * 5).alias("mantissa")))
+    band = F.element_at(F.array(*map(F.lit, ("LL", "HL", "LH", "HH"))), (1 + F.call_function("div", k, big(4)) % 4).cast("int"))
+    style = F.when(k % 3 == 0, "none").when(k % 3 == 1, "expounded").otherwise("derived")
+    d = t.load(spark, sf, "part").select(k.alias("id"), packets.step_entry(style, steps, band, k % 4, big(3)).alias("e"))
+    return d.select("id", "e.exponent", "e.mantissa", "e.error")

@@ -145,3 +145,22 @@ def test_byte_queries(spark):
     n = {r.name: r.n for r in catalogue.box_walk(spark, SF).collect()}
     assert n["jp2c"] == n["SIZ"] == n["EOC"] == len(rows)
     assert catalogue.layer_assign_classic(spark, SF).count()
+
+
+def test_awkward_pixels_and_rules(spark):
+    from rasterloom.functions import packets, packing
+    from rasterloom.operators import grids
+
+    d = spark.createDataFrame([(1, [[1, 2], [3, 4]], [5, 6, 7]), (2, [[], []], []), (3, None, None)], "id int, planes array<array<bigint>>, odd array<bigint>")
+    got = {r.id: r for r in d.select("id", packing.interleave(F.col("planes")).alias("a"), packing.deinterleave(F.col("odd"), 2, 8).alias("b")).collect()}
+    assert got[1].a == [1, 3, 2, 4] and got[1].b is None
+    assert got[2].a == [] and got[2].b == [[], []] and got[3].a is None and got[3].b is None
+    with pytest.raises(ValueError):
+        packing.strided(F.col("odd"), 4, 3)
+    w = spark.createDataFrame([(1, 0, 0, 4, 4), (1, 9, 9, 9, 12), (1, 6, 2, 8, 3), (2, 5, 5, 5, 5)], "image int, x0 int, y0 int, x1 int, y1 int")
+    assert [tuple(r) for r in grids.window_union(w, "image").collect()] == [(1, 0, 0, 8, 4)]
+    blocks = spark.createDataFrame([(1, 0, 0, 8, 8), (1, 8, 0, 16, 8), (2, 0, 0, 8, 8)], "image int, x0 int, y0 int, x1 int, y1 int")
+    assert [tuple(r) for r in grids.required_blocks(blocks, grids.window_union(w, "image"), "image").collect()] == [(1, 0, 0, 8, 8)]
+    v = spark.createDataFrame([(5, 70), (5, 62), (-(1 << 62), 62), (None, 3), (-9, 3)], "v bigint, shift int")
+    assert [r[0] for r in v.select(packets.roi_unshift(F.col("v"), F.col("shift"))).collect()] == [5, 5, -1, None, -1]
+    assert spark.range(1).select(packets.samples_per_image(F.lit(1 << 40), F.lit(1 << 40), F.lit(1)), packets.bits_per_pixel(F.lit(3), F.lit(0), F.lit(4))).first()[:] == (None, None)
