@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, give_back
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -374,6 +374,7 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model.value)
+        give_back()  # what earlier stages left in this worker
         for batch in batches:
             ids, column, at = batch.column(0), batch.column(1), 0
             upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -386,6 +387,8 @@ def encode_documents(documents: DataFrame, model_path: str = MODEL, id_col: str
                 lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens))
                 yield pa.record_batch([ids.slice(at, to - at), pa.array(np.diff(off), pa.int64()), lists, pa.array(same)], names=["doc_id", "n_tokens", "tokens", "round_trip"])
                 at = to
+                del part, tokens, off, same, lists
+                give_back()
 
     return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, tokens array<int>, round_trip boolean")
 

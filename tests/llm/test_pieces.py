@@ -1,8 +1,11 @@
 import random
+import re
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
-from rasterloom.llm import pieces
+from rasterloom.llm import common, pieces
 
 from .helpers import awkward, empty, frame
 
@@ -53,3 +56,24 @@ def test_small_batches(vocabulary, library, monkeypatch):
 def test_null_tokens(spark):
     df = spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, tokens array<int>")
     assert sorted((r.doc_id, r.text) for r in pieces.decode_documents(df).collect()) == [(1, None), (2, "")]
+
+
+def test_freed_memory_goes_back(spark):
+    """What an earlier stage left in a worker, and what a batch took, isn't held on by the worker."""
+
+    def held(batches):
+        def mb():
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+        kept = [bytes(40_000) + b"x" for _ in range(4000)]
+        pin = [bytes(40_000) + b"x" for _ in range(2)]
+        before = mb()
+        del kept
+        freed = []
+        for _ in batches:
+            common.give_back()
+            freed.append(before - mb())
+        yield pa.record_batch([pa.array([max(freed)]), pa.array([len(pin)])], names=["mb", "n"])
+
+    got = spark.range(1).coalesce(1).mapInArrow(held, "mb double, n long").first()
+    assert got.mb > 100
