@@ -623,11 +623,8 @@ def strided_rows(spark: SparkSession, sf: str) -> DataFrame:
 def roi_block_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The blocks of an image that the rectangle around its regions needs."""
     regions = t.roi(spark, sf).select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
-    cells = [F.explode(F.sequence(big(0), F.call_function("div", F.col(side) - 1, big(64)))).alias(n) for side, n in (("grid_w", "gx"), ("grid_h", "gy"))]
-    b = t.siz(spark, sf).select("image_id", "grid_w", "grid_h", cells[0]).select("*", cells[1])
-    b = b.select("image_id", (F.col("gx") * 64).alias("x0"), (F.col("gy") * 64).alias("y0"), F.least(F.col("gx") * 64 + 64, F.col("grid_w")).alias("x1"), F.least(F.col("gy") * 64 + 64, F.col("grid_h")).alias("y1"))
-    needed = grids.required_blocks(b, grids.window_union(regions, "image_id"), "image_id")
-    return needed.groupBy("image_id").agg(F.count("*").alias("blocks"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    needed = grids.block_ranges(t.siz(spark, sf), grids.window_union(regions, "image_id"))
+    return needed.groupBy("image_id").agg(F.sum("blocks").alias("blocks"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
 @query("""select event_id as job, d::bigint as denominator, (8 // d)::bigint as block_side, (case when event_id % 6 <= 1 then 1 else least(greatest(coalesce(case when event_id % 3 = 0 then event_id % 7 end, 4), 1), event_id % 6) end)::bigint as workers,

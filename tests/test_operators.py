@@ -164,3 +164,24 @@ def test_awkward_pixels_and_rules(spark):
     v = spark.createDataFrame([(5, 70), (5, 62), (-(1 << 62), 62), (None, 3), (-9, 3)], "v bigint, shift int")
     assert [r[0] for r in v.select(packets.roi_unshift(F.col("v"), F.col("shift"))).collect()] == [5, 5, -1, None, -1]
     assert spark.range(1).select(packets.samples_per_image(F.lit(1 << 40), F.lit(1 << 40), F.lit(1)), packets.bits_per_pixel(F.lit(3), F.lit(0), F.lit(4))).first()[:] == (None, None)
+
+
+def test_blocks_of_windows_without_a_row_each(spark):
+    """Blocks of images are neither exploded nor broadcast; those of edges, of windows off the image and of an image told twice count."""
+    from rasterloom.operators import grids
+
+    plan = catalogue.roi_block_windows(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "BroadcastHashJoin" not in plan
+    images = spark.createDataFrame([(1, 130, 64), (2, 128, 65), (2, 200, 65), (3, 64, 64), (4, 64, 64), (5, 640, 640)], "image_id bigint, grid_w bigint, grid_h bigint")
+    windows = spark.createDataFrame([(1, 63, -5, 129, 64), (2, 64, 64, 900, 900), (3, 64, 0, 80, 9), (4, -9, -9, 0, 5), (5, 128, 64, 129, 192)], "image_id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint")
+    cells = [F.explode(F.expr(f"sequence(0l, ({n} - 1) div 64)")).alias(c) for n, c in (("grid_w", "gx"), ("grid_h", "gy"))]
+    blocks = images.select("*", cells[0]).select("*", cells[1]).selectExpr("image_id", "grid_w", "gx * 64 as x0", "gy * 64 as y0", "least(gx * 64 + 64, grid_w) as x1", "least(gy * 64 + 64, grid_h) as y1")
+    needed = grids.required_blocks(blocks, windows, "image_id")
+    assert "Broadcast" not in needed._jdf.queryExecution().executedPlan().toString()
+    want = needed.groupBy("image_id", "grid_w").agg(F.count("*"), F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).drop("grid_w")
+    got = [tuple(r) for r in grids.block_ranges(images, windows).collect()]
+    assert sorted(got) == sorted(map(tuple, want.collect())) and len(got) == 4
+    requests = spark.createDataFrame([(7, 1, 0, 0, 9, 9, 0)], "req bigint, image_id bigint, x bigint, y bigint, w bigint, h bigint, levels bigint")
+    sized = images.selectExpr("*", "64l as tile_w", "64l as tile_h", "1l as nl")
+    for found in (grids.decode_plans(sized, requests), grids.tiles_of_regions(sized, requests)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
