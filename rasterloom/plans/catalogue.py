@@ -240,7 +240,7 @@ def tile_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select image_id, comp, res::int as res, count(*) as tiles, sum((rx1 - rx0) * (ry1 - ry0))::bigint as area, min(rx0) as x0, max(ry1) as y1 from res group by all", "res")
 def resolution_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    r = grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf))))
+    r = grids.resolutions(grids.components(grids.tiles(grids.dealt(t.siz(spark, sf)))))
     return r.groupBy("image_id", "comp", "res").agg(F.count("*").alias("tiles"), F.sum((F.col("r.x1") - F.col("r.x0")) * (F.col("r.y1") - F.col("r.y0"))).alias("area"), F.min("r.x0").alias("x0"), F.max("r.y1").alias("y1"))
 
 
@@ -252,13 +252,13 @@ def subband_rects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select image_id, res::int as res, sum(px * py)::bigint as precincts from pcount group by all", "pcount")
 def precinct_counts(spark: SparkSession, sf: str) -> DataFrame:
-    p = grids.precinct_counts(grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf)))))
+    p = grids.precinct_counts(grids.resolutions(grids.components(grids.tiles(grids.dealt(t.siz(spark, sf))))))
     return p.groupBy("image_id", "res").agg(F.sum(F.col("px") * F.col("py")).alias("precincts"))
 
 
 @query("+ e as (select *, case when res > 0 then 6 else 6 end as k from bands) select image_id, band, sum((case when bx1 > bx0 then ceil(bx1 / 64)::bigint - bx0 // 64 else 0 end) * (case when by1 > by0 then ceil(by1 / 64)::bigint - by0 // 64 else 0 end))::bigint as blocks from e group by all", "bands")
 def codeblock_grid(spark: SparkSession, sf: str) -> DataFrame:
-    b = grids.code_blocks(grids.bands(grids.resolutions(grids.components(grids.tiles(t.siz(spark, sf))))))
+    b = grids.code_blocks(grids.bands(grids.resolutions(grids.components(grids.tiles(grids.dealt(t.siz(spark, sf)))))))
     return b.groupBy("image_id", "band").agg(F.sum("blocks").alias("blocks"))
 
 

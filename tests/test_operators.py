@@ -185,3 +185,14 @@ def test_blocks_of_windows_without_a_row_each(spark):
     sized = images.selectExpr("*", "64l as tile_w", "64l as tile_h", "1l as nl")
     for found in (grids.decode_plans(sized, requests), grids.tiles_of_regions(sized, requests)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_images_are_dealt_before_they_are_exploded(spark):
+    """One file's images come to many tasks, and their groups meet without another exchange."""
+    from rasterloom.operators import grids
+
+    images = spark.range(0, 1000, 1, 1).withColumnRenamed("id", "image_id")
+    assert grids.dealt(images, most=20).rdd.getNumPartitions() == 50
+    for name in ("resolution_ladder", "precinct_counts", "codeblock_grid"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.rindex("Generate") < plan.index("Exchange"), name  # the plan is written from its end
