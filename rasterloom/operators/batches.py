@@ -50,14 +50,14 @@ def chunk_jobs(jobs: DataFrame, max_jobs: int, max_payload: int, max_descriptor:
     return folded(jobs, [*keys, "bucket"], [order, "payload", "descriptor"], start, step, finish, ["chunk", "first", "last", "n", "payload", "descriptor"])
 
 
-def folded(df: DataFrame, keys: list[str], columns: list[str], start: Callable[[], list], step: Callable[[list, tuple], Iterator[tuple]], finish: Callable[[list], Iterator[tuple]], names: list[str]) -> DataFrame:
-    """The rows (bigints, after the keys) that a serial fold over each group's rows, sorted by ``columns``, gives out; a group is streamed, not held."""
+def folded(df: DataFrame, keys: list[str], columns: list[str], start: Callable[[], list], step: Callable[[list, tuple], Iterator[tuple]], finish: Callable[[list], Iterator[tuple]], names: list[str], same: tuple[str, ...] = ()) -> DataFrame:
+    """The rows (bigints, after the keys; ``same`` ones as the columns are) that a serial fold over each group's rows, sorted by ``columns``, gives out; a group is streamed, not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state, kinds = None, None, []
         for batch in batches:
             out = []
-            kinds = batch.schema.types[: len(keys)]
+            kinds = [*batch.schema.types[: len(keys)], *(batch.schema.field(n).type if n in same else pa.int64() for n in names)]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = row[: len(keys)]
                 if state is None or key != last:
@@ -70,9 +70,9 @@ def folded(df: DataFrame, keys: list[str], columns: list[str], start: Callable[[
             yield record([last + r for r in finish(state)], kinds)
 
     def record(rows: list[tuple], kinds: list) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate([*kinds, *[pa.int64()] * len(names)])], names=[*keys, *names])
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[*keys, *names])
 
-    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` bigint" for n in names)])
+    schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), *(f"`{n}` {df.schema[n].dataType.simpleString() if n in same else 'bigint'}" for n in names)])
     return df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *columns).mapInArrow(run, schema)
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codec import jpeg2000
-from .batches import layer_budget
+from .batches import folded, layer_budget
 
 MOST_SCALE = 1 << 20
 
@@ -36,37 +34,32 @@ class Budgets:
         return layer
 
 
-def slope_order(rows: list[tuple[int, int, int, float]], targets: list[int]) -> dict[tuple[int, int], int]:
-    """Layers of (block, segment, rate, distortion): always the steepest among the blocks' next segments, so a good late segment waits for those before it."""
-    queues: dict[int, list] = {}
-    for block, segment, rate, distortion in sorted(rows, reverse=True):
-        queues.setdefault(block, []).append((segment, rate, math.inf if rate == 0 else distortion / rate))
-    heap = [(-q[-1][2], b, q[-1][0]) for b, q in queues.items()]
-    heapq.heapify(heap)
-    budgets, least, out = Budgets(targets), dict.fromkeys(queues, 0), {}
-    while heap:
-        _, block, segment = heapq.heappop(heap)
-        _, rate, _ = queues[block].pop()
-        least[block] = out[block, segment] = budgets.place(least[block], rate)
-        if queues[block]:
-            ahead = queues[block][-1]
-            heapq.heappush(heap, (-ahead[2], block, ahead[0]))
-    return out
-
-
 def layers_by_slope(segments: DataFrame, targets: list[int], keys: list[str]) -> DataFrame:
-    """(keys, block, segment, layer): a merge of queues is serial, so it runs within each tile."""
-    names = [*keys, "block", "segment", "layer"]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        found = slope_order(list(frame[["block", "segment", "rate", "distortion"]].itertuples(index=False, name=None)), targets)
-        out = frame[[*keys, "block", "segment"]].copy()
-        out["layer"] = [found[k] for k in zip(out["block"], out["segment"], strict=True)]
-        return out[names]
-
-    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
-    schema = ", ".join(f"{n} {kinds.get(n, 'int') if n != 'layer' else 'int'}" for n in names)
-    return segments.select(*keys, "block", "segment", "rate", "distortion").groupBy(*keys).applyInPandas(one, schema)
+    """(keys, block, segment, layer): always the steepest among the blocks' next segments is placed, so a good late segment waits for those before it.
+
+    A segment's turn comes with the flattest of its block so far, so sorting by that gives the
+    order of a merge of all blocks' queues. Placing is serial, within each tile (keys); its segments are
+    streamed, and a layer is held for each of its blocks. A segment of unknown rate goes to the
+    last layer and counts no bytes.
+    """
+    flattest = F.min(slope(F.col("distortion"), F.col("rate"))).over(Window.partitionBy(*keys, "block").orderBy("segment").rowsBetween(Window.unboundedPreceding, 0))
+
+    def start() -> list:
+        return [Budgets(targets), {}]
+
+    def step(state: list, row: tuple) -> Iterator[tuple]:
+        budgets, least = state
+        _, block, segment, size = row
+        layer = len(targets) - 1 if size is None else budgets.place(least.get(block, 0), size)
+        if layer:
+            least[block] = layer
+        yield block, segment, layer
+
+    def finish(state: list) -> Iterator[tuple]:
+        return iter(())
+
+    out = folded(segments.withColumn("turn", -flattest), keys, ["turn", "block", "segment", "rate"], start, step, finish, ["block", "segment", "layer"], ("block", "segment"))
+    return out.withColumn("layer", F.col("layer").cast("int"))
 
 
 class Unreachable(ValueError):

@@ -196,3 +196,25 @@ def test_images_are_dealt_before_they_are_exploded(spark):
     for name in ("resolution_ladder", "precinct_counts", "codeblock_grid"):
         plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and plan.rindex("Generate") < plan.index("Exchange"), name  # the plan is written from its end
+
+
+def test_layers_by_slope_are_streamed(spark):
+    """A tile isn't held; ties, empty segments, late steep ones and tiles over many batches come as told."""
+    rng = random.Random(8)
+    rows = [(b, s, rng.choice([0, 7, 40, 90]), float(rng.choice([0, 0, 50, 90, 400]))) for b in range(25) for s in range(rng.randrange(1, 12))]
+    want = slow_layers(rows, [300, 1500, 4000])
+    mixed = [(t, f"b{r[0]:02}", *r[1:]) for t in ("x", "y", "z") for r in rows]
+    rng.shuffle(mixed)
+    df = spark.createDataFrame(mixed, "tile string, block string, segment int, rate bigint, distortion double")
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    try:
+        out = rate.layers_by_slope(df, [300, 1500, 4000], ["tile"])
+        got = out.collect()
+    finally:
+        spark.conf.set(key, old)
+    assert out.dtypes == [("tile", "string"), ("block", "string"), ("segment", "int"), ("layer", "int")]
+    assert len(got) == len(mixed) and all(r.layer == want[int(r.block[1:]), r.segment] for r in got) and set(want.values()) == {0, 1, 2}
+    assert "InPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    unknown = spark.createDataFrame([(1, 1, 0, None, 5.0), (1, 1, 1, 10, 5.0)], "tile int, block bigint, segment bigint, rate bigint, distortion double")
+    assert {r.segment: r.layer for r in rate.layers_by_slope(unknown, [300, 1500, 4000], ["tile"]).collect()} == {0: 2, 1: 2}
